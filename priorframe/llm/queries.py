@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorframe.llm import chat, mixing, secrets, sharding, urlfilter
+from priorframe.llm import chat, decontaminate, mixing, mtree, quality, secrets, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(said.unionByName(probe)))
 
 
+def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark, table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Days of the list's log, from this date; captures are spread over the same days.
 FIRST_DAY, DAYS = "2024-01-01", 360
 
