@@ -87,7 +87,7 @@ def update(spark: SparkSession, versions: DataFrame, ledger: str | None, ws: Wor
         known = spark.read.parquet(ledger).filter(F.col("rules") == RULE_VERSION).select("blob", "spans")
         unseen = unseen.join(known.select("blob"), "blob", "left_anti")
     unseen = ws.keep(unseen, "unseen")
-    one = ws.sized(unseen).withColumnRenamed("blob", "_blob")
+    one = unseen.withColumnRenamed("blob", "_blob").hint("shuffle_hash")  # grows with the versions: never broadcast
     fresh = whole.join(one, F.col("path").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("_blob"))).select("blob", "text")
     found = ws.keep(scan(fresh).groupBy("blob").agg(F.first("spans").alias("spans")), "found")
     if ledger is not None:
