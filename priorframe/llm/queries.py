@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorframe.llm import chat, decontaminate, mixing, mtree, quality, secrets, sharding, urlfilter
+from priorframe.llm import chat, decontaminate, mixing, mtree, neardup, quality, secrets, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(spark, table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(spark, table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
