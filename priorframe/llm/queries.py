@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorframe.llm import chat, decontaminate, mixing, mtree, neardup, quality, secrets, sharding, urlfilter
+from priorframe.llm import chat, decontaminate, mixing, mtree, neardup, quality, secrets, sharding, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
