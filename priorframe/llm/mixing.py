@@ -82,15 +82,17 @@ def sainte_lague(claims: DataFrame, over: list[str], name: str, votes: str, seat
     return sure.join(got, on, "left").withColumn("quota", F.col("_least") + F.coalesce("_more", F.lit(0))).drop("_least", "_most", "_open", "_more")
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: int = 17) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, seed: int = 17, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, and the part of it taken once more.
 
     Columns: copies (times the whole text is taken), cut_from and cut_words (a
     further stretch of its words, counted from 0), again_words (a second
-    stretch, from its first word, where the blocks go around the lane's end).
+    stretch, from its first word, where the blocks go around the lane's end);
+    with carry also _doc, the document's own columns.
     """
     ws = Workspace(spark, "mixing")
-    base = ws.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    whole_docs = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    base = ws.keep(whole_docs.drop("_doc"), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("words"))
     aimed = targets(sizes)
     whole = Window.partitionBy()
@@ -102,7 +104,7 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 17) -> DataFrame:
     sources = ws.keep(sainte_lague(aimed, ["_all"], "place", "target", "seats").withColumn("lanes", lanes).drop("_all", "seats").withColumnRenamed("quota", "source_quota"), "sources")
 
     by_source = ws.sized(sources).withColumnRenamed("source", "_source")
-    laned = base.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    laned = (whole_docs if carry else base).join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size")
     laned = laned.withColumn("_h", order).withColumn("lane", F.pmod(F.shiftright("_h", 20), F.col("lanes").cast("long")).cast("int"))
     lane_sizes = laned.groupBy("place", "lane").agg(F.sum("size").alias("lane_words"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
@@ -133,6 +135,24 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 17) -> DataFrame:
     )
     taken = F.col("copies") * F.col("size") + F.col("cut_words") + F.col("again_words")
     return placed.select(
-        "doc_id", "source", "size", F.col("words").alias("source_size"), "target", taken.alias("taken"), "copies", "cut_from", "cut_words", "again_words"
+        "doc_id", "source", "size", F.col("words").alias("source_size"), "target", taken.alias("taken"), "copies", "cut_from", "cut_words", "again_words", *(["_doc"] if carry else [])
     )
 
+
+def mixed(spark: SparkSession, docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix itself, in the columns of docs: whole texts once for each time they are taken, and the stretches cut from others.
+
+    A stretch keeps the white space after its words; n_chars, if there is such a column, follows the text.
+    """
+    text = F.coalesce(F.col("_doc.text"), F.lit(""))
+
+    def stretch(start, n):
+        parts = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+        cut = F.array_join(F.slice(parts, start.cast("int") + 1, n.cast("int")), "")
+        return F.when(n == 0, F.array().cast("array<string>")).when(n == F.col("size"), F.array(text)).otherwise(F.array(cut))
+
+    texts = F.concat(F.array_repeat(text, F.col("copies").cast("int")), stretch(F.col("cut_from"), F.col("cut_words")), stretch(F.lit(0), F.col("again_words")))
+    out = mix(spark, docs, seed, carry=True).filter("taken > 0").withColumn("_text", F.explode(texts))
+    own = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(own.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))
+

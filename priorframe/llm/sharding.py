@@ -70,25 +70,25 @@ def plan(counts: dict[int, int], n_shards: int, vnodes: int = VNODES) -> list[di
 
 
 def assign(spark: SparkSession, rows: DataFrame, key: str, n_shards: int = SHARDS) -> DataFrame:
-    """rows (key, size, text_crc32) with home (the shard that owns the key), shard and slot."""
+    """rows (key, size, text_crc32, and _doc if there is one) with home (the shard that owns the key), shard and slot."""
     ws = Workspace(spark, "sharding")
     h = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string"))).otherwise(F.xxhash64("text_crc32", "size"))
     placed = rows.withColumn("_h", h).withColumn("_cell", F.shiftrightunsigned("_h", 64 - CELL_BITS).cast("int"))
-    base = ws.keep(placed, "rows")
+    base = ws.keep(placed.drop("_doc"), "rows")
     counts = {r[0]: r[1] for r in base.groupBy("_cell").count().collect()}  # at most CELLS rows
     pieces = local_rows(spark, plan(counts, n_shards), "cell int, lo long, hi long, shard int, base long, home int")
     rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", key, "text_crc32", "size")) - 1
-    ranked = base.withColumn("_rank", rank.cast("long"))
+    ranked = (placed if "_doc" in rows.columns else base).withColumn("_rank", rank.cast("long"))
     hit = (F.col("_cell") == F.col("cell")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))
     return ranked.join(F.broadcast(pieces), hit).select(
         *rows.columns, "home", "shard", (F.col("base") + F.col("_rank") - F.col("lo")).alias("slot")
     )
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, *more) -> DataFrame:
     """doc_id, size in bytes plus one, CRC32 of the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return docs.select(*more, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
@@ -96,3 +96,9 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = SHARDS
     return assign(spark, described(docs), "doc_id", n_shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home"
     )
+
+
+def sharded(spark: SparkSession, docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
+    """The documents themselves, in their columns, with _shard and _slot."""
+    placed = assign(spark, described(docs, F.struct(*docs.columns).alias("_doc")), "doc_id", n_shards)
+    return placed.select("_doc.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
