@@ -7,7 +7,9 @@ recomputation of the whole operator.
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -20,16 +22,20 @@ BROADCAST_BYTES = 8 << 20
 ARROW_ROWS = 512
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see; only a local master may fall back to a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
+    if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="priorframe-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="priorframe-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
 
 
 def small_batches(spark: SparkSession) -> None:
