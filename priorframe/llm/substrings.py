@@ -168,17 +168,24 @@ def rows_of(texts: pa.Array) -> Iterator[Row]:
             yield Row(row + r, low[a * BYTES : b * BYTES], v[a : max(a, b - WINDOW + 1)])
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array, without sorting it again."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def stretches(row: Row, shared: np.ndarray, heavy: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
     """(first window, words, routing number) of the stretches around shared minimisers."""
     if not len(row.least) or not len(shared):
         return
-    hit = np.isin(row.least, shared)
+    hit = among(row.least, shared)
     if not hit.any():
         return
     cut = np.ones(len(hit) + 1, bool)
     cut[1:-1] = (row.least[1:] != row.least[:-1])
     edges = np.flatnonzero(cut)
-    many = np.isin(row.least, heavy) if len(heavy) else np.zeros(len(hit), bool)
+    many = among(row.least, heavy)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if not hit[a]:
             continue
