@@ -1,4 +1,4 @@
-"""The thin opN_ queries over the driver's tables, and SQL for those that SQL can express."""
+"""The thin opN_ queries over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorframe.llm import chat, decontaminate, mixing, mtree, neardup, quality, secrets, sharding, substrings, urlfilter
+from priorframe.llm import chat, decontaminate, mixing, mtree, neardup, oracles, quality, secrets, sharding, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,10 @@ def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substrings.dedup(spark, table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-PROBE = r"\### Assistant: </turn> ok"
+PROBE = oracles.PROBE
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-SQL: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(oracles.SQL)

@@ -75,6 +75,8 @@ class FMIndex:
                 ahead[: n - have] = rank[have:] + 1
             rank = np.unique(rank * (n + sigma + 2) + ahead, return_inverse=True)[1]
             have *= 2
+            if have == 8:
+                self.eights = rank  # equal where eight symbols are equal
         self.places = np.argsort(rank, kind="stable")
         last = symbols[self.places - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])
@@ -122,21 +124,23 @@ def first_ids(stretches: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
 
     many = np.maximum(0, lengths - WINDOW + 1)
     window = np.repeat(start, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    least = owner[window].copy()
-    who = np.arange(len(window))
-    lo, hi = np.zeros(len(window), np.int64), np.full(len(window), len(text), np.int64)
-    for k in reversed(range(WINDOW)):
-        lo, hi = index.step(text[window[who] + k], lo, hi)
+    # equal windows are one pattern: two overlapping runs of eight words tell them apart
+    pattern, back = np.unique(index.eights[window] * len(text) + index.eights[window + WINDOW - 8], return_inverse=True)
+    place = np.zeros(len(pattern), np.int64)
+    place[back] = window
+    least = owner[place].copy()
+    who = np.arange(len(pattern))
+    lo, hi = index.first[text[place + WINDOW - 1]], index.first[text[place + WINDOW - 1] + 1]
+    for k in reversed(range(WINDOW - 1)):
         go = hi - lo > 1
         who, lo, hi = who[go], lo[go], hi[go]
+        lo, hi = index.step(text[place[who] + k], lo, hi)
     if len(who):
-        at, back = np.unique(lo, return_inverse=True)  # whole windows: intervals are equal or apart
-        end = np.zeros(len(at), np.int64)
-        end[back] = hi
-        cuts = np.stack([at, end], axis=1).ravel()
+        order = np.argsort(lo)  # whole patterns: their intervals are apart
+        cuts = np.stack([lo[order], hi[order]], axis=1).ravel()
         held = np.append(owner[index.places], LAST)
-        least[who] = np.minimum.reduceat(held, cuts)[::2][back]
-    return np.split(least, np.cumsum(many)[:-1])
+        least[who[order]] = np.minimum.reduceat(held, cuts)[::2]
+    return np.split(least[back], np.cumsum(many)[:-1])
 
 
 def minimisers(h: np.ndarray) -> np.ndarray:
@@ -228,10 +232,10 @@ def info_of(info: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, dict]:
     return status, join(shared), join(heavy), found
 
 
-def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the kept words joined by one space)."""
+def dedup(spark: SparkSession, docs: DataFrame, texts: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with texts kept, the kept words joined by one space."""
     small_batches(spark)
-    ws = Workspace(spark, "substrings")
+    ws, with_texts = Workspace(spark, "substrings"), texts
     text = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), F.xxhash64("text").alias("mark"), "text")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,16 +351,20 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             out = np.cumsum(drop[:many]) > 0
             n.append(many)
             gone.append(int(out.sum()))
-            text_ = texts[r.at].as_py() or ""
-            left = [x for x, y in zip(text_.encode().split(), out.tolist()) if not y]
+            if not gone[-1] and not with_texts:
+                sha.append(digest.hex())
+                continue
+            left = [x for x, y in zip((texts[r.at].as_py() or "").encode().split(), out.tolist()) if not y]
             joined = b" ".join(left)
-            sha.append((digest if not gone[-1] else hashlib.sha256(joined).digest()).hex())
+            sha.append(hashlib.sha256(joined).hexdigest())
             kept.append(joined.decode())
-        return pa.table([own.combine_chunks() if len(rows) else pa.array([], own.type), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
-                        names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        columns = [own.combine_chunks() if len(rows) else pa.array([], own.type), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+        return pa.table([*columns, pa.array(kept, pa.string())], names=[*names, "kept"]) if with_texts else pa.table(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("grp").cogroup(info.unionByName(found).groupBy("grp")).applyInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_texts
+    return dealt.groupBy("grp").cogroup(info.unionByName(found).groupBy("grp")).applyInArrow(remove, schema)
 
 
 BUCKET_SCHEMA = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("least", pa.binary()), ("many", pa.binary())])
