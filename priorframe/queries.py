@@ -79,7 +79,7 @@ def asof_truncation(s, d):
 
 @query("""select o_orderkey, year(o_orderdate) season, year(o_orderdate) >= 1997 kept from orders where year(o_orderdate) between 1996 and 2000""")
 def season_range_warmup(s, d):
-    o = table(s, d, "orders").withColumn("season", F.year("o_orderdate"))
+    o = table(s, d, "orders").withColumn("season", F.year("o_orderdate").cast("long"))
     warm = o.filter(F.col("season").between(1997 - 1, 2000))
     return warm.select("o_orderkey", "season", (F.col("season") >= 1997).alias("kept"))
 
@@ -375,7 +375,7 @@ def first_of_key(s, d):
 @query("""with f as (select week(ts) w, min(ts) "asof" from events group by 1) select f.w, count(*) n, round(avg(e.value), 6) m, max(e.ts) < min(f."asof") ok from events e join f on e.ts < f."asof" group by f.w""")
 def fold_range_join(s, d):
     e = table(s, d, "events")
-    f = e.groupBy(F.weekofyear("ts").alias("w")).agg(F.min("ts").alias("asof"))
+    f = e.groupBy(F.weekofyear("ts").cast("long").alias("w")).agg(F.min("ts").alias("asof"))
     g = fold_join(e.select("ts", "value"), f, "ts").groupBy("w")
     return g.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("m"), (F.max("ts") < F.min("asof")).alias("ok"))
 
@@ -392,7 +392,7 @@ def topk_abs(s, d):
 def _contests(s, d) -> DataFrame:
     """Events as contests: seasons are weeks of the year, weeks are weekdays."""
     e = table(s, d, "events")
-    return e.select(F.col("event_id").alias("game_id"), F.weekofyear("ts").alias("season"), F.weekday("ts").alias("week"), F.col("ts").alias("kickoff"), (F.col("ts") < F.lit("2024-01-25").cast("timestamp_ntz")).alias("played"), "value", "event_type", "user_id")
+    return e.select(F.col("event_id").alias("game_id"), F.weekofyear("ts").cast("long").alias("season"), F.weekday("ts").cast("long").alias("week"), F.col("ts").alias("kickoff"), (F.col("ts") < F.lit("2024-01-25").cast("timestamp_ntz")).alias("played"), "value", "event_type", "user_id")
 
 
 @query("""select week(ts) season, isodow(ts) - 1 "week", min(ts) "asof" from events where ts < timestamp '2024-01-25' and (week(ts), isodow(ts) - 1) >= (2, 3) group by 1, 2""")
@@ -431,7 +431,7 @@ def pivot_model_wide(s, d):
 
 @query("""select l_shipmode_ season, count(*) n, count(distinct l_suppkey) suppliers, round(avg(l_quantity), 6) mean, round(stddev_samp(l_quantity), 6) sd, round(median(l_quantity), 6) med, coalesce(sum(case when l_returnflag = 'Z' then l_quantity end), 0.0) none from (select *, year(l_shipdate) l_shipmode_ from lineitem) group by 1""")
 def group_statistics(s, d):
-    return table(s, d, "lineitem").groupBy(F.year("l_shipdate").alias("season")).agg(
+    return table(s, d, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("season")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), r6(F.avg("l_quantity")).alias("mean"), r6(F.stddev_samp("l_quantity")).alias("sd"), r6(F.median("l_quantity")).alias("med"),
         F.coalesce(F.sum(F.when(F.col("l_returnflag") == "Z", F.col("l_quantity"))), F.lit(0.0)).alias("none"))
 
@@ -527,7 +527,7 @@ select w.user_id, w.wk, coalesce(c.n, 0.0) pos_teammates_out, round(coalesce(v.s
 
 @query(ABSENT_SQL)
 def vacated_share(s, d):
-    e = table(s, d, "events").select("user_id", F.weekofyear("ts").alias("week"), F.lit(2024).alias("season"), (F.col("user_id") % 8).alias("team"), (F.col("user_id") % 3).alias("position"), "value")
+    e = table(s, d, "events").select("user_id", F.weekofyear("ts").cast("long").alias("week"), F.lit(2024).alias("season"), (F.col("user_id") % 8).alias("team"), (F.col("user_id") % 3).alias("position"), "value")
     out = F.col("week") == F.col("user_id") % 5 + 1
     weeks = e.filter(~out).groupBy("user_id", "season", "week", "team", "position").agg(F.avg("value").alias("target_share_ewma")).withColumn("carries_ewma", F.lit(0.0))
     weeks = weeks.withColumn("player_display_name", F.col("user_id").cast("string")).withColumn("player_id", F.col("player_display_name"))
@@ -547,7 +547,7 @@ def negbinom_over(s, d):
 @query()
 def player_features(s, d):
     e = table(s, d, "events")
-    w = e.groupBy(F.col("user_id").cast("string").alias("player_id"), F.lit(2024).alias("season"), F.weekofyear("ts").alias("week")).agg(F.sum("value").alias("targets"), F.avg("value").alias("carries"), F.avg(F.col("value") / 100).alias("target_share"))
+    w = e.groupBy(F.col("user_id").cast("string").alias("player_id"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week")).agg(F.sum("value").alias("targets"), F.avg("value").alias("carries"), F.avg(F.col("value") / 100).alias("target_share"))
     w = w.withColumn("player_display_name", F.col("player_id")).withColumn("team", F.col("player_id").cast("int") % 8).withColumn("position", F.when(F.col("player_id").cast("int") % 2 == 0, "WR").otherwise("RB"))
     inj = w.filter("week % 2 = 0 and int(player_id) % 9 = 0").select("season", "week", "team", F.col("player_display_name").alias("full_name"), "position", F.lit(1).alias("is_out"))
     snaps = w.select("season", "week", "team", F.col("player_display_name").alias("player"), F.lit("g").alias("game_id"), F.lit(10.0).alias("offense_snaps"), F.lit(0.5).alias("offense_pct"))
@@ -558,8 +558,8 @@ def player_features(s, d):
 @query()
 def starter_form(s, d):
     e = table(s, d, "events")
-    starts = e.filter("user_id % 3 = 0").groupBy(F.col("user_id").alias("player_id"), F.lit(2024).alias("season"), F.weekofyear("ts").alias("week")).agg(F.lit(20.0).alias("attempts"), F.sum("value").alias("passing_epa"))
-    games = e.filter("event_type = 'view'").select(F.col("event_id").alias("game_id"), (F.col("user_id") % 8).alias("team"), F.lit(2024).alias("season"), F.weekofyear("ts").alias("week"), F.col("ts").alias("kickoff"), F.col("user_id").alias("qb_id"))
+    starts = e.filter("user_id % 3 = 0").groupBy(F.col("user_id").alias("player_id"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week")).agg(F.lit(20.0).alias("attempts"), F.sum("value").alias("passing_epa"))
+    games = e.filter("event_type = 'view'").select(F.col("event_id").alias("game_id"), (F.col("user_id") % 8).alias("team"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week"), F.col("ts").alias("kickoff"), F.col("user_id").alias("qb_id"))
     f = players.starter_features(starts, games)
     return f.select("game_id", r6("qb_epa_ewma").alias("qb_epa_ewma"), "qb_starts", "qb_is_new", "qb_is_rookie_ish", r6("qb_epa_delta").alias("qb_epa_delta"))
 
@@ -596,14 +596,14 @@ WEEKS_SQL = '(select week(ts) w, min(ts) "asof" from events group by 1)'
 @query(f"""select f.w, round(avg(value), 6) prediction, count(*) n_train from events e join {WEEKS_SQL} f on e.ts < f."asof" group by f.w""")
 def wf_home(s, d):
     e = table(s, d, "events")
-    f = e.groupBy(F.weekofyear("ts").alias("w")).agg(F.min("ts").alias("asof"))
+    f = e.groupBy(F.weekofyear("ts").cast("long").alias("w")).agg(F.min("ts").alias("asof"))
     return walkforward.mean_baseline(e, "value", f, "ts").select("w", r6("prediction").alias("prediction"), "n_train")
 
 
 @query(f"""select f.w, round(regr_slope(value, x), 6) slope, round(regr_intercept(value, x), 6) intercept, count(*) n_train from (select ts, value, lag(value) over (partition by user_id order by ts, event_id) x from events) e join {WEEKS_SQL} f on e.ts < f."asof" where x is not null and value is not null group by f.w having count(*) >= 30""")
 def wf_ols(s, d):
     e = table(s, d, "events")
-    f = e.groupBy(F.weekofyear("ts").alias("w")).agg(F.min("ts").alias("asof"))
+    f = e.groupBy(F.weekofyear("ts").cast("long").alias("w")).agg(F.min("ts").alias("asof"))
     x = e.select("ts", "value", USER.lag("value").alias("x"))
     return walkforward.ols_baseline(x, "x", "value", f, "ts").filter("n_train >= 30").select("w", r6("slope").alias("slope"), r6("intercept").alias("intercept"), "n_train")
 
@@ -613,7 +613,7 @@ def _modelling(s, d) -> DataFrame:
     e = table(s, d, "events").filter("event_type in ('view', 'click')")
     f = e.select("event_id", "user_id", "ts", "value", USER.ewma("value", 6.0).alias("a"), USER.mean("value", 8).alias("b"), USER.count().alias("c"))
     return f.select(
-        F.col("event_id").alias("game_id"), F.lit(2024).alias("season"), F.weekofyear("ts").alias("week"), F.col("ts").alias("kickoff"), F.lit("REG").alias("game_type"), F.lit(True).alias("played"),
+        F.col("event_id").alias("game_id"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week"), F.col("ts").alias("kickoff"), F.lit("REG").alias("game_type"), F.lit(True).alias("played"),
         (F.col("user_id") % 32).cast("string").alias("home_team"), ((F.col("user_id") + 5) % 32).cast("string").alias("away_team"), (F.col("a") - F.col("b")).alias("d_form"), F.col("a").alias("s_form"), F.col("c").cast("double").alias("d_games"),
         (F.col("a") - 40).alias("elo_diff"), (F.col("value") - 40).alias("spread_actual"), F.col("value").alias("total_actual"), F.when(F.col("value") > 40, 1.0).when(F.col("value") < 40, 0.0).otherwise(0.5).alias("home_win"),
         (F.col("b") - 40).alias("vegas_spread"), F.col("b").alias("vegas_total"))
@@ -665,6 +665,28 @@ def wf_ensemble(s, d):
     return _walk(s, d, lambda: [Ensemble([Elo(targets=NAMES), Linear(FEATURES, "linear", NAMES)], [1.0, 2.0])])
 
 
+@query()
+def overfit_audit(s, d):
+    from priorframe.models.baselines import Elo
+    from priorframe.models.linear import Linear
+    from priorframe.plans import audits
+
+    # weeks stand for seasons
+    df = _modelling(s, d).withColumn("season", F.col("week"))
+    return audits.overfit(df, lambda: [Elo(targets=NAMES), Linear(FEATURES, "linear", NAMES)], 4).select("model", *(F.round(c, 4).alias(c) for c in ("train", "test", "gap")))
+
+
+@query()
+def props_backtest(s, d):
+    from priorframe.plans import audits
+
+    e = table(s, d, "events")
+    p = e.select(F.col("user_id").alias("player_id"), (F.lit(202400) + F.dayofyear("ts")).cast("long").alias("abs_week"), "value", USER.ewma("value", 5.0).alias("form"), USER.count().cast("double").alias("games"),
+                 (F.col("user_id") % 4 / 10.0).alias("vacated_target_share"))
+    got = audits.props(p, "value", ["form", "games"], ["vacated_target_share"], min_train=100, last_weeks=3, rounds=20)
+    return audits.props_report(got, p.dropDuplicates(["player_id", "abs_week"])).select("vacated", "n", *(F.round(c, 3).alias(c) for c in ("r2_plain", "r2_informed", "edge")))
+
+
 @query()
 def strategy_scan(s, d):
     from priorframe.models.baselines import Elo, Market
@@ -684,7 +706,7 @@ PRED_SQL = """(select event_id game_id, event_type model, week(ts) season, isodo
 def _predictions(s, d) -> DataFrame:
     e = table(s, d, "events")
     i = F.col("event_id")
-    return e.select(i.alias("game_id"), F.col("event_type").alias("model"), F.weekofyear("ts").alias("season"), (F.weekday("ts") + 1).alias("week"), ((i * 37 % 1001) / 1001.0).alias("p_home"),
+    return e.select(i.alias("game_id"), F.col("event_type").alias("model"), F.weekofyear("ts").cast("long").alias("season"), (F.weekday("ts") + 1).cast("long").alias("week"), ((i * 37 % 1001) / 1001.0).alias("p_home"),
                     F.when(F.col("value") > 50, 1.0).when(F.col("value") < 30, 0.0).otherwise(0.5).alias("home_win"), ((i * 13 % 41) - 20.0).alias("pred_spread"), F.round(F.col("value") - 40).alias("spread_actual"), ((i % 15) - 7.0).alias("vegas_spread"))
 
 
