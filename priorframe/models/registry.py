@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import pickle
 from collections.abc import Callable
 
 from priorframe.config import Config
@@ -40,3 +42,17 @@ def slate(cfg: Config, select: Callable[[list[str]], list[str]], targets: list[s
 def ensemble_of(models: list[Model], names: list[str], weights: list[float] | None = None) -> Ensemble:
     by = {m.name: m for m in models}
     return Ensemble([by[n] for n in names], weights)
+
+
+def save(models: list[Model], path: str) -> None:
+    """Fitted models in one file, replaced at once."""
+    part = f"{path}.part"
+    with open(part, "wb") as f:
+        pickle.dump(models, f)
+    os.replace(part, path)
+
+
+def load(path: str) -> list[Model]:
+    """What save wrote; only for files of one's own, since unpickling runs code."""
+    with open(path, "rb") as f:
+        return pickle.load(f)  # noqa: S301

@@ -117,6 +117,15 @@ def test_models(i):
     assert np.abs(p["pred_spread"] - test["spread_actual"]).mean() < 0.8 * np.abs(test["spread_actual"]).mean()
 
 
+def test_saved_models(tmp_path):
+    from priorframe.models.registry import load, save
+
+    fitted = [m.fit(frame()) for m in makers()[:2]]
+    save(fitted, str(tmp_path / "models"))
+    for a, b in zip(fitted, load(str(tmp_path / "models"))):
+        assert np.allclose(a.predict(frame(20, 3))["p_home"], b.predict(frame(20, 3))["p_home"])
+
+
 def test_coherence():
     train, test = frame(), frame(100, 1)
     p = Linear(["a", "b"], targets=NAMES, coherent=True).fit(train).predict(test)
