@@ -799,7 +799,7 @@ def label_accuracy(s, d):
 # --- scalar functions
 
 @query("""select event_id, year(ts)::bigint * 100 + week(ts) abs_week, cast(month(ts) as int) m, round(epoch(timestamp '2024-02-01' - ts) / 86400.0, 6) age, round(1 / (1 + 10 ** (-(value - 40) / 400)), 6) elo, round(ln(least(greatest(value / 100, 1e-6), 1 - 1e-6) / (1 - least(greatest(value / 100, 1e-6), 1 - 1e-6))), 6) logit,
-round(1 / least(greatest(value / 100, 1e-6), 1.0) / 1.045, 6) odds, cast(round(value % 1 * 100) as int) || '%' pct, (value::int - 20 + 12 + 24000) % 24 - 12 wrap, lower(event_type)[1:3] abbr from events""")
+round(1 / least(greatest(value / 100, 1e-6), 1.0) / 1.045, 6) odds, cast(round(value % 1 * 100) as int) || '%' pct, (floor(value)::int - 20 + 12 + 24000) % 24 - 12 wrap, lower(event_type)[1:3] abbr from events""")
 def scalar_functions(s, d):
     from priorframe.functions.numbers import elo_expected
 
@@ -807,7 +807,7 @@ def scalar_functions(s, d):
     return table(s, d, "events").select(
         "event_id", abs_week(F.year("ts"), F.weekofyear("ts")).alias("abs_week"), F.month("ts").alias("m"), r6(age_days(F.col("ts"), F.lit("2024-02-01").cast("timestamp_ntz"))).alias("age"),
         r6(elo_expected(v - 40)).alias("elo"), r6(logit(v / 100)).alias("logit"), r6(decimal_odds(v / 100)).alias("odds"), percent(F.round(v % 1 * 100) / 100).alias("pct"),
-        geo.zone_shift(F.round(v).cast("double"), F.lit(20.0)).cast("int").alias("wrap"), F.substring(F.lower("event_type"), 1, 3).alias("abbr"))
+        geo.zone_shift(F.floor(v).cast("double"), F.lit(20.0)).cast("int").alias("wrap"), F.substring(F.lower("event_type"), 1, 3).alias("abbr"))
 
 
 @query("""select o_orderkey, case when o_orderkey % 10 = 0 then o_orderdate + interval 13 hour else o_orderdate + interval (o_orderkey % 24) hour + interval 30 minute end kickoff, case when o_orderkey % 10 = 0 then 13.0 else (o_orderkey % 24) * 1.0 end h from orders""")
