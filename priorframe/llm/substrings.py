@@ -252,8 +252,9 @@ def dedup(spark: SparkSession, docs: DataFrame, texts: bool = True) -> DataFrame
     groups = max(1, math.ceil(total / GROUP_WORDS))
     buckets = max(1, math.ceil(total / 5 / BUCKET))
     grp = F.pmod(F.xxhash64("id", "mark"), F.lit(groups)).cast("int").alias("grp")
-    first = base.groupBy("digest").agg(F.min("id").alias("first"))
-    status = base.join(first, "digest").select("id", "mark", "digest", (F.col("id") > F.col("first")).alias("copy")).distinct()
+    # written, so that the join has its own exchange: Spark splits the partition of a very common text
+    first = ws.keep(base.groupBy("digest").agg(F.min("id").alias("first")), "first")
+    status = base.join(first, "digest").select("id", "mark", "digest", (F.col("id") > F.col("first")).alias("copy"))
     status = ws.keep(status.select(grp, F.lit(STATUS).alias("kind"), "id", "mark", "digest", "copy", F.lit(None).cast("binary").alias("data")), "status")
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
