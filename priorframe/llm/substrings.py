@@ -6,8 +6,8 @@ over it also starts in a document with a smaller id.
 To keep the search linear, shards are made by content. Each window has a
 minimiser, the five-word run in it with the least hash, and equal windows have
 equal minimisers. Documents are dealt into groups; groups report their
-minimisers, sorted, to buckets of the hash range, and learn which of theirs
-other texts have too. Only stretches around such shared minimisers are indexed:
+minimisers to buckets of hashes, and learn which of theirs other texts have
+too. Only stretches around such shared minimisers are indexed:
 a stretch goes to the shard of its minimiser, so equal windows meet. Where very
 many texts share a minimiser, its windows go one by one, by their own hash, so
 no passage makes a shard large.
@@ -274,7 +274,9 @@ def dedup(spark: SparkSession, docs: DataFrame, texts: bool = True) -> DataFrame
         if not once:
             return BUCKET_SCHEMA.empty_table()
         v, n = np.unique(np.concatenate([unpack6(x) for x in once.values()]), return_counts=True)
-        to = (v * U(buckets)) >> U(48)
+        to = v % U(buckets)  # minimisers are small numbers: ranges of them would be uneven
+        order = np.argsort(to, kind="stable")
+        v, n, to = v[order], n[order], to[order]
         ends = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
         out = [(b, key[0].as_py(), pack6(v[lo:hi]), np.minimum(n[lo:hi], 255).astype(np.uint8).tobytes()) for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])) if hi > lo]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), BUCKET_SCHEMA)], schema=BUCKET_SCHEMA)
