@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
