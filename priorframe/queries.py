@@ -581,7 +581,7 @@ def elo_pre(s, d):
 
 @query()
 def ridge_adjusted(s, d):
-    m = _matches(s, d).filter(F.col("game_id") % 4 == 0).withColumn("week", F.quarter("kickoff"))
+    m = _matches(s, d).withColumn("week", F.quarter("kickoff"))
     side = lambda a, b, sign, home: m.select(F.col(a).alias("team"), F.col(b).alias("opponent"), F.lit(home).alias("is_home"), "kickoff", (sign * F.col("result") / 50).alias("off_epa_play"), (sign * F.col("result") > 0).cast("double").alias("off_success_rate"))
     rows = side("home_team", "away_team", 1.0, 1).unionByName(side("away_team", "home_team", -1.0, 0))
     a = ridge.adjusted(rows, m.groupBy("season", "week").agg(F.min("kickoff").alias("asof")))
