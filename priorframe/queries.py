@@ -558,8 +558,8 @@ def player_features(s, d):
 @query()
 def starter_form(s, d):
     e = table(s, d, "events")
-    starts = e.filter("user_id % 3 = 0").groupBy(F.col("user_id").alias("player_id"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week")).agg(F.lit(20.0).alias("attempts"), F.sum("value").alias("passing_epa"))
-    games = e.filter("event_type = 'view'").select(F.col("event_id").alias("game_id"), (F.col("user_id") % 8).alias("team"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week"), F.col("ts").alias("kickoff"), F.col("user_id").alias("qb_id"))
+    starts = e.groupBy(F.col("user_id").alias("player_id"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week")).agg(F.lit(20.0).alias("attempts"), F.sum("value").alias("passing_epa"))
+    games = e.select(F.col("event_id").alias("game_id"), (F.col("user_id") % 8).alias("team"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week"), F.col("ts").alias("kickoff"), F.col("user_id").alias("qb_id"))
     f = players.starter_features(starts, games)
     return f.select("game_id", r6("qb_epa_ewma").alias("qb_epa_ewma"), "qb_starts", "qb_is_new", "qb_is_rookie_ish", r6("qb_epa_delta").alias("qb_epa_delta"))
 
