@@ -646,14 +646,14 @@ def wf_linear(s, d):
 def wf_trees(s, d):
     from priorframe.models.trees import BoostedTrees
 
-    return _walk(s, d, lambda: [BoostedTrees(FEATURES, "trees", NAMES, rounds=40)])
+    return _walk(s, d, lambda: [BoostedTrees(FEATURES, "trees", NAMES)])
 
 
 @query()
 def wf_neural(s, d):
     from priorframe.models.neural import Neural
 
-    return _walk(s, d, lambda: [Neural(FEATURES, "neural", NAMES, epochs=15)])
+    return _walk(s, d, lambda: [Neural(FEATURES, "neural", NAMES)])
 
 
 @query()
@@ -683,7 +683,7 @@ def props_backtest(s, d):
     e = table(s, d, "events")
     p = e.select(F.col("user_id").alias("player_id"), (F.lit(202400) + F.dayofyear("ts")).cast("long").alias("abs_week"), "value", USER.ewma("value", 5.0).alias("form"), USER.count().cast("double").alias("games"),
                  (F.col("user_id") % 4 / 10.0).alias("vacated_target_share"))
-    got = audits.props(p, "value", ["form", "games"], ["vacated_target_share"], min_train=100, rounds=20)
+    got = audits.props(p, "value", ["form", "games"], ["vacated_target_share"], min_train=100, rounds=250)
     return audits.props_report(got, p.dropDuplicates(["player_id", "abs_week"])).select("vacated", "n", *(F.round(c, 3).alias(c) for c in ("r2_plain", "r2_informed", "edge")))
 
 
