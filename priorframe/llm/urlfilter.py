@@ -1,11 +1,11 @@
 """URL filters by a temporal list join.
 
 A list is a log of dated entries (kind, value, action, at): a host with its
-subdomains, or a host with a path prefix, is added to the list or removed from
+subdomains, or a host with a path prefix (whole segments of that very host), is added to the list or removed from
 it. Consecutive entries of one value become validity intervals, and an as-of
 join evaluates each capture against what was active when it was fetched. The
-capture's host is spread over its parent domains and its first path segment,
-so the join is an equality with an interval as a residual condition.
+capture's host is spread over its parent domains, and its path over its prefixes
+by segment, so the join is an equality with an interval as a residual condition.
 
 The rule that covers the longest value decides. Of entries of one value at one
 moment, a removal is applied last.
@@ -32,6 +32,11 @@ def segment(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)", 1)
 
 
+def path(url: Column) -> Column:
+    """The path, without its first slash."""
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """Entries to kind, value, since, until (exclusive, null: still active) of the times a value was listed."""
     order = Window.partitionBy("kind", "value").orderBy("at", "action")
@@ -45,8 +50,12 @@ def candidates(url: Column) -> Column:
     h = host(url)
     labels = F.split(h, r"\.", -1)
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("host").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")))
-    path = F.array(F.struct(F.lit("path").alias("kind"), F.concat(h, F.lit("/"), segment(url)).alias("value")))
-    return F.when(h != "", F.when(segment(url) != "", F.concat(parents, path)).otherwise(parents)).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    parts = F.split(path(url), "/", -1)
+    prefix = lambda i: F.array_join(F.slice(parts, 1, i), "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("path").alias("kind"), F.concat(h, F.lit("/"), prefix(i)).alias("value")))
+    # an entry names a segment: neither a bare host nor a trailing slash makes a prefix
+    prefixes = F.filter(prefixes, lambda c: ~c["value"].endswith("/"))
+    return F.when(h != "", F.when(segment(url) != "", F.concat(parents, prefixes)).otherwise(parents)).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
 
 
 def evaluate(spark: SparkSession, captures: DataFrame, entries: DataFrame) -> DataFrame:
