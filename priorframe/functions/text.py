@@ -6,18 +6,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def canonical(c: Column) -> Column:
-    """One text for a value: numbers rounded to ten digits after the point, null as nothing."""
-    return F.coalesce(c.cast("string"), F.lit(""))
+#: The SQL of %.10g, of x and e, which is |x| as %.9e; the mantissa's digits and the power of ten are bound once.
+_BARE = r"regexp_replace(regexp_replace({}, r'0+$', ''), r'\.$', '')"
+_FIXED = "case when s.n >= 0 then concat(left(s.d, s.n + 1), '.', substring(s.d, s.n + 2)) else concat('0.', repeat('0', -s.n - 1), s.d) end"
+_FORM = f"case when s.n between -4 and 9 then {_BARE.format(_FIXED)} else concat({_BARE.format("concat(left(s.d, 1), '.', substring(s.d, 2))")}, 'e', s.p) end"
+_PARTS = "named_struct('d', replace(substring_index(v.e, 'e', 1), '.', ''), 'n', int(substring_index(v.e, 'e', -1)), 'p', substring_index(v.e, 'e', -1))"
+_REAL = (
+    "case when v.x is null or isnan(v.x) then 'nan' when v.x = double('inf') then 'inf' when v.x = double('-inf') then '-inf' "
+    f"else concat(if(startswith(string(v.x), '-'), '-', ''), transform(array({_PARTS}), s -> {_FORM})[0]) end"
+)
 
 
-def row_hash(fields: list[str], types: dict[str, str]) -> Column:
-    """16 hex digits of SHA-256 over name=value pairs; doubles are rounded to 1e-9 first."""
+def _bound(x: str) -> str:
+    return f"'x', double({x}), 'e', format_string('%.9e', abs(double({x})))"
+
+
+def general(column: str) -> Column:
+    """A double as C's %.10g writes it: ten significant digits, no trailing zeros, exponents below -4 and from 10 on; nan for null."""
+    return F.expr(f"transform(array(named_struct({_bound(f'`{column}`')})), v -> {_REAL})[0]")
+
+
+def row_hash(fields: list[str], types: dict[str, str], known_only: bool = False) -> Column:
+    """16 hex digits of SHA-256 over name=value pairs, joined by bars: doubles as %.10g, null as nan; known_only leaves out null fields."""
     parts = []
     for f in fields:
-        value = F.round(F.col(f), 9) if types[f] in ("double", "float") else F.col(f)
-        parts.append(F.concat(F.lit(f"{f}="), canonical(value)))
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+        real = types[f] in ("double", "float")
+        text = "''" if real else f"coalesce(string(`{f}`), 'nan')"
+        parts.append(f"named_struct('name', '{f}=', 'real', {str(real).lower()}, 'known', `{f}` is not null, 'text', {text}, {_bound(f'`{f}`' if real else 'null')})")
+    pairs = f"array({', '.join(parts)})"
+    pairs = f"filter({pairs}, v -> v.known)" if known_only else pairs
+    return F.expr(f"substring(sha2(array_join(transform({pairs}, v -> concat(v.name, if(v.real, {_REAL}, v.text))), '|'), 256), 1, 16)")
 
 
 def percent(c: Column) -> Column:

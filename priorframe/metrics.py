@@ -24,18 +24,20 @@ class Target:
 
 # The targets, in report order.
 TARGETS = (
-    Target("home_win", "home_win", "binary", "p_home", None, "Home win"),
-    Target("spread", "spread_actual", "regression", "pred_spread", "vegas_spread", "Margin"),
+    Target("win", "home_win", "binary", "p_home", "vegas_spread", "Moneyline / win probability"),
+    Target("spread", "spread_actual", "regression", "pred_spread", "vegas_spread", "Point spread (home margin)"),
     Target("total", "total_actual", "regression", "pred_total", "vegas_total", "Total points"),
-    Target("h1_home_win", "h1_home_win", "binary", "p_home_h1", None, "Half-time lead"),
-    Target("h1_spread", "h1_spread_actual", "regression", "pred_h1_spread", None, "Half-time margin"),
-    Target("h1_total", "h1_total_actual", "regression", "pred_h1_total", None, "Half-time points"),
+    Target("h1_win", "h1_home_win", "binary", "p_home_h1", None, "Leading at halftime"),
+    Target("h1_spread", "h1_spread_actual", "regression", "pred_h1_spread", None, "Halftime margin"),
+    Target("h1_total", "h1_total_actual", "regression", "pred_h1_total", None, "Halftime total points"),
 )
 
 
 def resolve(names: list[str] | None = None) -> list[Target]:
     """The targets of these names, all without names; KeyError for one that doesn't exist."""
     by = {t.name: t for t in TARGETS}
+    if unknown := [n for n in names or () if n not in by]:
+        raise KeyError(f"unknown targets {unknown}; there are {sorted(by)}")
     return [by[n] for n in names] if names else list(TARGETS)
 
 
@@ -156,6 +158,39 @@ def summarize(predictions: DataFrame, targets: list[Target] | None = None, by: l
     return out
 
 
+def ordered(summary: DataFrame, models: list[str]) -> DataFrame:
+    """A summary with target_order and model_order, sorted by them: targets as listed, models as in the slate, others last by name."""
+    place = lambda c, names: F.coalesce(F.expr("nullif(array_position({}, {}), 0)".format("array(" + ", ".join(f"'{n}'" for n in names) + ")", c)), F.lit(len(names) + 1)).cast("int")
+    out = summary.withColumn("target_order", place("target", [t.name for t in TARGETS])).withColumn("model_order", place("model", models))
+    return out.orderBy("target_order", "model_order", "model")
+
+
+# The columns of the comparison table and how each is written.
+SHOWN = {"accuracy": "%.4f", "log_loss": "%.4f", "brier": "%.4f", "ece": "%.4f", "mae": "%.3f", "rmse": "%.3f", "ats_pct": "%.4f", "ats_units": "%+.1f", "ou_pct": "%.4f"}
+
+
+def format_table(summary: DataFrame, models: list[str], breakeven: float = 0.5238) -> str:
+    """The comparison table to read: a block for each target, a dash for what is unknown, and the break-even rate below.
+
+    A summary has one row a target and model, so it is gathered as it is.
+    """
+    have = [c for c in ("n_games", *SHOWN) if c in summary.columns]
+    rows = ordered(summary, models).select("target", "model", *have).collect()
+    if not rows:
+        return "(no results)"
+    blocks = []
+    for t in TARGETS:
+        own = [r for r in rows if r["target"] == t.name]
+        if not own:
+            continue
+        columns = ["model", *(c for c in have if any(r[c] is not None for r in own))]
+        told = [columns] + [[str(r[c]) if c not in SHOWN else "-" if r[c] is None else SHOWN[c] % r[c] for c in columns] for r in own]
+        width = [max(len(x[i]) for x in told) for i in range(len(columns))]
+        lines = ["  ".join(x.rjust(w) for x, w in zip(row, width)) for row in told]
+        blocks.append(f"--- {t.name}: {t.label}{'' if t.market else '   [no market benchmark exists]'} ---\n" + "\n".join(lines))
+    return "\n\n".join(blocks) + f"\n\nATS break-even at standard -110 juice: {breakeven:.4f}"
+
+
 def by_season(predictions: DataFrame, targets: list[Target] | None = None) -> DataFrame:
     return summarize(predictions, targets, ["model", "season"])
 
@@ -175,6 +210,27 @@ def bands(df: DataFrame, y: str, p: str) -> DataFrame:
     return d.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col(p) > 0.5) == (F.col(y) > 0.5)).cast("double")).alias("hit_rate"))
 
 
+def recent(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How right recent weeks were: winners, missed points of the total, of each team's score, and confident picks.
+
+    predictions: p_home, pred_spread, pred_total, home_score, away_score; scores are predicted as half of total plus or
+    minus margin, to whole points. Games without a result don't count.
+    """
+    margin, total = F.col("home_score") - F.col("away_score"), F.col("home_score") + F.col("away_score")
+    right = ((F.col("p_home") > 0.5) == (margin > 0)).cast("double")
+    miss = F.abs(total - F.col("pred_total"))
+    whole = lambda c: F.bround(c / 2, 0)
+    home = F.abs(F.col("home_score") - whole(F.col("pred_total") + F.col("pred_spread")))
+    away = F.abs(F.col("away_score") - whole(F.col("pred_total") - F.col("pred_spread")))
+    sure = F.greatest("p_home", 1 - F.col("p_home")) >= 0.70
+    done = predictions.filter(margin.isNotNull())
+    return done.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(right).cast("long").alias("hits"), F.avg(right).alias("hit_rate"), F.avg(miss).alias("total_miss"),
+        F.avg((miss <= 7).cast("double")).alias("within_7"), F.avg((miss <= 14).cast("double")).alias("within_14"), F.avg((home + away) / 2).alias("team_miss"),
+        F.count(F.when(sure, F.lit(1))).alias("sure_n"), F.sum(F.when(sure, right)).cast("long").alias("sure_hits"),
+    )
+
+
 def weekly_record(predictions: DataFrame, target: Target = TARGETS[0]) -> DataFrame:
     return evaluate(predictions, target, ["model", "season", "week"])
 

@@ -28,14 +28,16 @@ def slate(cfg: Config, select: Callable[[list[str]], list[str]], targets: list[s
     net = {"dim": n["emb_dim"], "hidden": n["hidden"], "dropout": n["dropout"], "decay": n["weight_decay"], "rate": n["lr"], "epochs": n["max_epochs"], "patience": n["patience"],
            "validation": n["val_fraction"], "batch": n["batch_size"], "seed": cfg.seed}
     t = {"targets": targets}
+    with_qb = select([*DEFAULT_GROUPS, "qb"])
     return [
-        HomeTeam(**t), Elo(**t), Market(**t),
+        HomeTeam(**t),
+        Linear(lean, "lean", coherent=True, **t, **lin), Linear(lean_qb, "lean_qb", coherent=True, **t, **lin),
+        Elo(**t), Market(**t),
         Linear(plain, "linear", **t, **lin), BoostedTrees(plain, "lightgbm", **t, **gbm),
         Linear(market, "linear_plus_vegas", **t, **lin), BoostedTrees(market, "lightgbm_plus_vegas", **t, **gbm),
+        Linear(with_qb, "linear_qb", coherent=True, **t, **lin),
         Linear(plain, "linear_coherent", coherent=True, **t, **lin), BoostedTrees(plain, "lightgbm_coherent", coherent=True, **t, **gbm),
-        Linear(lean, "lean", coherent=True, **t, **lin), Linear(lean_qb, "lean_qb", coherent=True, **t, **lin),
-        Linear([*plain, *select(["qb"])], "linear_qb", coherent=True, **t, **lin),
-        Neural(plain, "neural", **t, **net), Neural([*plain, *select(["qb"])], "neural_qb", starters=True, **t, **net),
+        Neural(plain, "neural", **t, **net), Neural(with_qb, "neural_qb", starters=True, **t, **net),
     ]
 
 

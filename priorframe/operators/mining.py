@@ -55,16 +55,30 @@ def with_p_binomial(cells_: DataFrame, k: str = "k", n: str = "n", p: str = "bas
     return cells_.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells_.schema) + ", p double")
 
 
-def bh(df: DataFrame, p: str, ties: list[str], q: float = 0.05, step_up: bool = False) -> DataFrame:
+#: Ranges of p that bh ranks apart: 32 for each halving, down to 2**-64.
+_PARTS = 64 * 32
+
+
+def bh(df: DataFrame, p: str, ties: list[str], q: float = 0.05, step_up: bool = False, many: bool = False) -> DataFrame:
     """df with its rank by p and whether it survives: pointwise p <= rank / m * q, or by the step-up rule.
 
-    df holds hypotheses, not data: its number is that of the grid.
+    Hypotheses are as many as the cells of a grid, so one task sorts them. Where they are as many as rows, `many` ranks
+    them within ranges of p laid end to end: what is sorted in one place is the table of at most 2,049 ranges.
     """
-    order = Window.orderBy(F.col(p), *ties)
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    out = df.withColumn("rank", F.row_number().over(order)).withColumn("_ok", F.col(p) <= F.col("rank") / m * q)
-    if step_up:
+    if not many:
+        m = F.count(F.lit(1)).over(Window.partitionBy())
+        out = df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(p), *ties))).withColumn("_ok", F.col(p) <= F.col("rank") / m * q)
         last = F.max(F.when(F.col("_ok"), F.col("rank"))).over(Window.partitionBy())
+    else:
+        part = F.when(F.col(p) > 0, F.greatest(F.lit(1), F.lit(_PARTS) + F.floor(F.log2(p) * 32))).otherwise(F.lit(0)).cast("int")
+        parts = df.select(part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        ladder = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_m"))
+        inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(p), *ties))
+        out = df.withColumn("_part", part).withColumn("_in", inside).join(F.broadcast(ladder), "_part")
+        out = out.withColumn("rank", F.col("_in") + F.col("_before")).withColumn("_ok", F.col(p) <= F.col("rank") / F.col("_m") * q)
+        last = out.agg(F.max(F.when(F.col("_ok"), F.col("rank")))).scalar() if step_up else None
+        out = out.drop("_part", "_in", "_before", "_m")
+    if step_up:
         return out.withColumn("survives", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("_ok")
     return out.withColumnRenamed("_ok", "survives")
 
@@ -138,6 +152,11 @@ def residual_mine(disc: DataFrame, hold: DataFrame, outcome: str, dims: list[str
     return residual_cells(residuals(disc, outcome, controls), residuals(hold, outcome, controls), dims, **limits)
 
 
+def noteworthy(found: DataFrame, least: float = 0.015, top: int = 10) -> DataFrame:
+    """Of what residual_mine found the `top` cells with the largest excess, of those that survive, replicate and exceed `least`."""
+    return found.filter(F.col("survives") & F.col("replicated") & (F.abs("excess") >= least)).orderBy(F.abs("excess").desc(), *(c for c in ("mask",) if c in found.columns), *(c for c in found.columns if c in DIMS)).limit(top)
+
+
 # The grid of betting strategies.
 CONTEXTS = {
     "all games": "true", "wk1-6": "week <= 6", "wk7-13": "week > 6 and week <= 13", "wk14+": "week >= 14", "line<=3": "abs(vegas_spread) <= 3",

@@ -26,29 +26,41 @@ def scrimmage(plays: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFr
     return p.filter(ok & (F.col("wp").between(low, high) | F.col("wp").isNull()) if "wp" in p.columns else ok)
 
 
-def box(plays: DataFrame, keys: list[str]) -> DataFrame:
-    """Rates of one side by keys; one hash aggregation with map-side partials."""
-    passing, rushing = F.col("pass") == 1, F.col("rush") == 1
-    early = F.col("down").isin(1, 2)
+def rates(plays: DataFrame, prefix: str = "", of: Column | None = None) -> list[Column]:
+    """Aggregates of BOX and plays over the rows where `of` holds (all without it); null where there are none.
+
+    A play counts as a pass if pass is 1, so an unknown one is none; an unknown sack stays unknown; a play with both an
+    interception and a lost fumble has two turnovers.
+    """
+    of = F.lit(True) if of is None else of
+    passing, rushing = F.coalesce(F.col("pass") == 1, F.lit(False)), F.coalesce(F.col("rush") == 1, F.lit(False))
+    early = F.coalesce(F.col("down").isin(1, 2), F.lit(False))
     gained = pick(plays, "yards_gained")
     explosive = F.coalesce((passing & (gained >= 20)) | (rushing & (gained >= 10)), F.lit(False)).cast("double")
-    lost = F.greatest(F.coalesce(pick(plays, "interception"), F.lit(0.0)), F.coalesce(pick(plays, "fumble_lost"), F.lit(0.0)))
-    return plays.groupBy(*keys).agg(
-        F.avg("epa").alias("epa_play"), F.avg("success").alias("success_rate"),
-        F.avg(F.when(passing, F.col("epa"))).alias("pass_epa"), F.avg(F.when(rushing, F.col("epa"))).alias("rush_epa"),
-        F.avg(F.when(passing, F.col("success"))).alias("pass_success"), F.avg(F.when(rushing, F.col("success"))).alias("rush_success"),
-        F.avg(F.when(early, F.col("epa"))).alias("early_epa"), F.avg(explosive).alias("explosive_rate"), F.avg("pass").alias("pass_rate"),
-        F.avg(F.col("pass") - pick(plays, "xpass")).alias("proe"),
-        F.avg(F.when(passing, F.coalesce(pick(plays, "sack"), F.lit(0.0)))).alias("sack_rate"), F.avg(lost).alias("turnover_rate"),
-        F.count(F.lit(1)).alias("plays"),
-    )
+    lost = F.coalesce(pick(plays, "interception"), F.lit(0.0)) + F.coalesce(pick(plays, "fumble_lost"), F.lit(0.0))
+    means = {
+        "epa_play": (of, F.col("epa")), "success_rate": (of, F.col("success")), "pass_epa": (passing, F.col("epa")), "rush_epa": (rushing, F.col("epa")),
+        "pass_success": (passing, F.col("success")), "rush_success": (rushing, F.col("success")), "early_epa": (early, F.col("epa")), "explosive_rate": (of, explosive),
+        "pass_rate": (of, passing.cast("double")), "proe": (of, F.col("pass") - pick(plays, "xpass")), "sack_rate": (passing, pick(plays, "sack")), "turnover_rate": (of, lost),
+    }
+    return [*(F.avg(F.when(of & when, x)).alias(prefix + name) for name, (when, x) in means.items()), F.sum(F.when(of, F.lit(1).cast("long"))).alias(f"{prefix}plays")]
+
+
+def box(plays: DataFrame, keys: list[str]) -> DataFrame:
+    """Rates of one side by keys; one hash aggregation with map-side partials."""
+    return plays.groupBy(*keys).agg(*rates(plays))
 
 
 def game_box(plays: DataFrame, band: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
-    """(game_id, team): what each team did with the ball and against it, full outer, with the difference of the two."""
+    """(game_id, team): what each team did with the ball and against it, and the difference of the two.
+
+    Every play is laid out for both of its teams and aggregated once, so plays are read and shuffled once; a team that
+    only defended has null for its attack, as a full outer join of two boxes would.
+    """
     good = scrimmage(plays, *band)
-    side = lambda team, prefix: box(good, ["game_id", team]).withColumnsRenamed({team: "team"} | {c: f"{prefix}_{c}" for c in (*BOX, "plays")})
-    both = side("posteam", "off").join(side("defteam", "def"), ["game_id", "team"], "outer")
+    sides = F.explode(F.array(F.struct(F.col("posteam").alias("team"), F.lit(True).alias("off")), F.struct(F.col("defteam").alias("team"), F.lit(False).alias("off"))))
+    laid = good.withColumn("_side", sides)
+    both = laid.groupBy("game_id", F.col("_side.team").alias("team")).agg(*rates(good, "off_", F.col("_side.off")), *rates(good, "def_", ~F.col("_side.off")))
     return both.withColumn("net_epa", F.col("off_epa_play") - F.col("def_epa_play"))
 
 
@@ -74,9 +86,9 @@ def sums(df: DataFrame, columns: list[str], prefix: str = "s_") -> DataFrame:
 
 
 def matchup(off: str, defence: str, name: str) -> list[Column]:
-    """Each attack against the other defence, and the difference of the two."""
-    home = F.col(f"home_{off}") + F.col(f"away_{defence}")
-    away = F.col(f"away_{off}") + F.col(f"home_{defence}")
+    """Each attack less what the other defence allows, and the difference of the two."""
+    home = F.col(f"home_{off}") - F.col(f"away_{defence}")
+    away = F.col(f"away_{off}") - F.col(f"home_{defence}")
     return [home.alias(f"mu_home_{name}"), away.alias(f"mu_away_{name}"), (home - away).alias(f"mu_net_{name}")]
 
 
@@ -95,6 +107,13 @@ def unique_on(df: DataFrame, keys: list[str]) -> bool:
     return df.groupBy(*keys).count().filter("count > 1").limit(1).count() == 0
 
 
+def demand_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, whose rows fail with a message where a key occurs more than once: checked inside the plan, without a job of its own."""
+    many = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    message = F.concat(F.lit(f"more than one row for ({', '.join(keys)}) = "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
+    return df.withColumn("_many", many).filter(F.when(F.col("_many") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_many")
+
+
 def semi_by(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on), on, "left_semi")
 

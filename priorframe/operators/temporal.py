@@ -43,7 +43,8 @@ class History:
     def ewma(self, c: str, halflife: float) -> Column:
         """The mean of earlier values, each weighing half as much for every `halflife` values after it; nulls don't age.
 
-        Folds the earlier values in order, so it is exact at any length; the buffer is one entity's history.
+        Folds the earlier values in order, so it is exact at any length; quadratic in an entity's rows. with_running_ewma
+        is linear and gives the same: use it where histories are long or columns are many.
         """
         a = 0.5 ** (1.0 / halflife)
         state = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
@@ -67,35 +68,45 @@ class History:
         return F.coalesce(self.lag(c) != F.col(c), F.lit(False)).cast("int")
 
 
-def with_running_ewma(df: DataFrame, history: History, columns: list[str], halflife: float) -> DataFrame:
-    """df with <column>_ewma for each column by running sums: linear in an entity's rows, for long histories.
+def with_running_ewma(df: DataFrame, history: History, columns: list[str], halflife: float, names: list[str] | None = None, inclusive: bool = False) -> DataFrame:
+    """df with <column>_ewma (or names) for all columns by running sums: linear in an entity's rows.
 
-    Weights are kept within range by counting values from the end of each block of 100 half-lives: of older
-    blocks less than 2**-100 remains, so the block before the last is the only other that counts.
+    Equal to History.ewma; inclusive also takes the row's own value. Rows are cut into blocks of 100 half-lives, the
+    same for all columns, so weights stay within range: inside a block sums run with weights counted from its start,
+    and what a block leaves behind is carried to the next ones by a fold over blocks, not rows. One exchange and two
+    sorts, by time and by block and time, serve all columns.
     """
-    block = max(1, int(100 * halflife))
-    a = 0.5 ** (1.0 / halflife)
-    out = df
-    for c in columns:
-        seen = F.count(c).over(history.window.rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("_r", seen - F.col(c).isNotNull().cast("long"))  # values before this one
-        out = out.withColumn("_b", F.floor(F.col("_r") / block)).withColumn("_at", F.col("_r") % block)
-        own = History((*history.by, "_b"), history.order)
-        grow = F.pow(F.lit(1 / a), F.col("_at").cast("double"))
-        n = F.coalesce(F.sum(F.col(c) * grow).over(own.before), F.lit(0.0)) * F.pow(F.lit(a), F.col("_at") - 1.0)
-        d = F.coalesce(F.sum(F.when(F.col(c).isNotNull(), grow)).over(own.before), F.lit(0.0)) * F.pow(F.lit(a), F.col("_at") - 1.0)
-        whole = Window.partitionBy(*history.by, "_b")
-        out = out.withColumn("_n", n).withColumn("_d", d)
-        last = F.pow(F.lit(1 / a), F.col("_at").cast("double") - (block - 1))
-        out = out.withColumn("_bn", F.sum(F.col(c) * last).over(whole)).withColumn("_bd", F.sum(F.when(F.col(c).isNotNull(), last)).over(whole))
-        # the totals of the block before, which all rows of this block see
-        blocks = out.groupBy(*history.by, "_b").agg(F.first("_bn").alias("_pn"), F.first("_bd").alias("_pd")).withColumn("_b", F.col("_b") + 1)
-        out = out.join(blocks, [*history.by, "_b"], "left")
-        fade = F.pow(F.lit(a), F.col("_at").cast("double"))
-        num = F.col("_n") + F.coalesce(F.col("_pn") * fade, F.lit(0.0))
-        den = F.col("_d") + F.coalesce(F.col("_pd") * fade, F.lit(0.0))
-        out = out.withColumn(f"{c}_ewma", F.when(den > 0, num / den)).drop("_r", "_b", "_at", "_n", "_d", "_bn", "_bd", "_pn", "_pd")
-    return out
+    names = names or [f"{c}_ewma" for c in columns]
+    block, fade = max(1, int(100 * halflife)), 0.5 ** (1.0 / halflife)
+    a, grow = f"{fade!r}D", f"{1 / fade!r}D"
+    by, order = ", ".join(f"`{c}`" for c in history.by), ", ".join(f"`{c}`" for c in history.order)
+    line, own = f"partition by {by} order by {order}", f"partition by {by}, _b order by {order}"
+    upto, before = "rows between unbounded preceding and current row", "rows between unbounded preceding and 1 preceding"
+    d = df.selectExpr("*", f"floor((row_number() over ({line}) - 1) / {block}) as _b")
+    # of each column the values before this row in its block
+    seen = [f"count(`{c}`) over ({own} {before}) as _k{i}" for i, c in enumerate(columns)]
+    d = d.selectExpr("*", f"coalesce(lead(_b) over ({line}) <> _b, true) as _end", *seen)
+    sums = []
+    for i, c in enumerate(columns):
+        for j, value in enumerate((f"cast(`{c}` as double) * power({grow}, _k{i})", f"case when `{c}` is not null then power({grow}, _k{i}) end")):
+            sums.append(f"coalesce(sum({value}) over ({own} {upto if inclusive else before}), 0D) as _s{i}{j}")
+            sums.append(f"case when _end then coalesce(sum({value}) over ({own} {upto}), 0D) end as _t{i}{j}")
+    d = d.selectExpr("*", *sums)
+    # what the blocks before leave, the latest value with weight one
+    ends = []
+    for i, c in enumerate(columns):
+        m = f"(_k{i} + cast(`{c}` is not null as int))"
+        state = f"named_struct('n', _t{i}0 * power({a}, {m} - 1), 'd', _t{i}1 * power({a}, {m} - 1), 'f', power({a}, {m}))"
+        ends.append(f"collect_list(case when _end then {state} end) over (partition by {by} order by _b range between unbounded preceding and 1 preceding) as _p{i}")
+    d = d.selectExpr("*", *ends)
+    left = "aggregate(_p{0}, named_struct('n', 0D, 'd', 0D), (s, x) -> named_struct('n', s.n * x.f + x.n, 'd', s.d * x.f + x.d)) as _l{0}"
+    d = d.selectExpr("*", *(left.format(i) for i in range(len(columns))))
+    made = []
+    for i, (c, name) in enumerate(zip(columns, names)):
+        m = f"(_k{i} + cast(`{c}` is not null as int))" if inclusive else f"_k{i}"
+        part = lambda j, f: f"(_s{i}{j} * power({a}, {m} - 1) + _l{i}.{f} * power({a}, {m}))"  # noqa: B023, E731
+        made.append(f"case when {part(1, 'd')} > 0 then {part(0, 'n')} / {part(1, 'd')} end as `{name}`")
+    return d.selectExpr(*(f"`{c}`" for c in df.columns), *made)
 
 
 def with_games_in_season(df: DataFrame, history: History, season: str, name: str, reset: bool = False) -> DataFrame:
@@ -139,6 +150,25 @@ def fold_join(train: DataFrame, folds: DataFrame, time: str, boundary: str = "as
     return train.join(folds, F.col(time) < F.col(boundary))
 
 
+def fold_sums(df: DataFrame, folds: DataFrame, time: str, boundary: str, start: list[Column], merged) -> DataFrame:
+    """folds with `state`: aggregates of the rows before each boundary, without a row for each pair of row and fold.
+
+    start: aggregates of a group, aliased; merged(a, b): the state of two groups as a struct of the same fields. Rows are
+    aggregated by the number of boundaries they are not before (map-side, to as many groups as boundaries); those states
+    are then merged in order.
+    """
+    bounds = folds.select(F.array_sort(F.collect_set(boundary))).scalar()
+    past = F.size(F.filter("_bounds", lambda x: x <= F.col(time)))
+    groups = df.filter(F.col(time).isNotNull()).withColumn("_bounds", bounds).withColumn("_at", past).groupBy("_at").agg(*start)
+    names = [c for c in groups.columns if c != "_at"]
+    ladder = folds.select(boundary).distinct().withColumn("_at", F.row_number().over(Window.orderBy(boundary)) - 1)  # one row a boundary
+    upto = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.struct(*names)
+    step = ladder.join(groups, "_at", "left").select(boundary, F.collect_list(F.when(F.col(names[0]).isNotNull(), state)).over(upto).alias("_all"))
+    total = F.aggregate(F.slice("_all", 2, F.greatest(F.lit(1), F.size("_all"))), F.get("_all", 0), merged)
+    return folds.join(step.select(boundary, F.when(F.size("_all") > 0, total).alias("state")), boundary)
+
+
 def prior_mean(df: DataFrame, by: list[str], period: str, value: Column, name: str) -> DataFrame:
     """df with the mean of value over all rows of earlier periods with the same `by`.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 from datetime import datetime
 
@@ -25,21 +26,33 @@ def upcoming(df: DataFrame, now: datetime | str) -> DataFrame:
     return later.filter((F.col("season") == first[0][0]) & (F.col("week") == first[0][1]))
 
 
-def train(df: DataFrame, asof, models: Callable[[], list[Model]], least: int = 1) -> list[Model]:
-    """All models on what was played before asof: one slim fold, gathered to the driver as one fold is to a task."""
-    rows = df.filter(F.col("played") & (F.col("kickoff") < F.lit(str(asof)).cast("timestamp_ntz"))).toPandas()
-    if len(rows) < least:
-        raise RuntimeError(f"{len(rows)} training rows")
-    return [m.fit(rows) for m in models()]
+def train(df: DataFrame, asof, models: Callable[[], list[Model]], least: int = 1, regular_only: bool = False) -> list[Model]:
+    """All models on what was played before asof, each fitted in a task of its own; only the fitted models come to the driver."""
+    rows = df.filter(F.col("played") & (F.col("kickoff") < F.lit(str(asof)).cast("timestamp_ntz")))
+    if regular_only:
+        rows = rows.filter(F.col("game_type") == "REG")
+    n = rows.limit(max(1, least)).count()
+    if n < max(1, least):
+        raise RuntimeError(f"{n} training rows")
+    names = [m.name for m in models()]
+    each = rows.withColumn("_model", F.explode(F.array(*map(F.lit, names))))
 
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        name = g["_model"].iloc[0]
+        fitted = next(m for m in models() if m.name == name).fit(g.drop(columns="_model").sort_values(["kickoff", "game_id"], ignore_index=True))
+        return pd.DataFrame({"name": [name], "model": [pickle.dumps(fitted)]})
 
-def predict_week(spark: SparkSession, df: DataFrame, season: int, week: int, models: Callable[[], list[Model]], log_path: str | None = None, vintage: str = "unknown") -> DataFrame:
+    got = {r[0]: pickle.loads(r[1]) for r in each.groupBy("_model").applyInPandas(fit, "name string, model binary").collect()}  # noqa: S301
+    return [got[n] for n in names]
+
+
+def predict_week(spark: SparkSession, df: DataFrame, season: int, week: int, models: Callable[[], list[Model]], log_path: str | None = None, vintage: str = "unknown", regular_only: bool = False) -> DataFrame:
     """Predictions for one week by all models, as of its first kickoff; appended to the log if one is given."""
     slate = df.filter((F.col("season") == season) & (F.col("week") == week))
-    games = slate.toPandas()
+    games = slate.toPandas()  # one week's games
     if games.empty:
         raise LookupError(f"no games in {season} week {week}")
-    fitted = train(df, games["kickoff"].min(), models)
+    fitted = train(df, games["kickoff"].min(), models, regular_only=regular_only)
     keep = [c for c in ("game_id", "season", "week", "kickoff", "home_team", "away_team", "vegas_spread", "vegas_total") if c in games]
     parts = [games[keep].assign(model=m.name, **m.predict(games)) for m in fitted]
     out = pd.concat(parts, ignore_index=True)

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from priorframe import metrics, predlog
 from priorframe.functions import dimensions, geo
-from priorframe.functions.calendar import abs_week, age_days, hour, kickoff, to_utc
+from priorframe.functions.calendar import abs_week, age_days, hour, kickoff, stamp, to_utc
 from priorframe.functions.numbers import clip, cut, decimal_odds, flag, logit, number, prob_bin, shrink
 from priorframe.functions.text import confidence, percent
 from priorframe.operators import context, mining, players, ratings, ridge
 from priorframe.operators import relational as R
 from priorframe.operators.lookup import era_lookup, fallback, venue_cascade
 from priorframe.operators.temporal import History, asof_join, fold_join, prior_mean, with_games_in_season, with_running_ewma
-from priorframe.plans import walkforward, week
+from priorframe.plans import features, walkforward, week
+from priorframe.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,12 +52,15 @@ def r6(c: Column | str) -> Column:
 
 # --- scans, projections, filters
 
-@query("""select l_orderkey, l_partkey, l_suppkey, l_quantity, l_discount from lineitem
-where l_returnflag in ('A', 'R') and l_extendedprice is not null and (l_discount between 0.03 and 0.07 or l_discount is null)""")
+@query("""select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount from lineitem
+where l_returnflag in ('A', 'R') and l_partkey % 10 <> 0 and l_suppkey % 10 <> 0 and (l_discount between 0.03 and 0.07 or l_linenumber = 3)""")
 def scan_filter_band(s, d):
+    """Line items as plays: N is no scrimmage, some have no attack or defence, and some have an unknown win probability."""
     li = table(s, d, "lineitem")
-    ok = F.col("l_returnflag").isin("A", "R") & F.col("l_extendedprice").isNotNull() & (F.col("l_discount").between(0.03, 0.07) | F.col("l_discount").isNull())
-    return li.filter(ok).select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    some = lambda c: F.when(F.col(c) % 10 != 0, F.col(c))
+    plays = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", F.when(F.col("l_returnflag") == "A", "pass").when(F.col("l_returnflag") == "R", "run").otherwise("punt").alias("play_type"),
+                      F.col("l_extendedprice").alias("epa"), some("l_partkey").alias("posteam"), some("l_suppkey").alias("defteam"), F.when(F.col("l_linenumber") != 3, F.col("l_discount")).alias("wp"))
+    return R.scrimmage(plays, 0.03, 0.07).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount")
 
 
 @query("""select event_id, try_cast(json_extract_string(props, '$.k') as double) k, try_cast(event_type as double) bad,
@@ -69,18 +73,18 @@ def coerce_fill_clip(s, d):
                     F.coalesce(click, F.lit(0.0)).alias("filled"), clip(F.col("value"), 10.0, 50.0).alias("clipped"), R.pick(e, "no_such_column").alias("absent"))
 
 
-@query("""with o as (select * from orders where o_orderdate < timestamp '1998-01-01')
+@query("""with o as (select * from orders where o_orderdate::date + case when o_orderkey % 2 = 0 then interval 13 hour else interval 20 hour end < timestamp '1998-01-01 15:00:00')
 select l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_quantity from lineitem l where l.l_orderkey in (select o_orderkey from o)""")
 def asof_truncation(s, d):
-    early = table(s, d, "orders").filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    plays = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    return plays.join(early.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    games = table(s, d, "orders").select(F.col("o_orderkey").alias("game_id"), F.col("o_orderdate").alias("gameday"), F.when(F.col("o_orderkey") % 2 == 1, "20:00").alias("gametime"))
+    plays = table(s, d, "lineitem").select(F.col("l_orderkey").alias("game_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    return features.before(games, plays, "1998-01-01 15:00:00")[1].withColumnRenamed("game_id", "l_orderkey")
 
 
 @query("""select o_orderkey, year(o_orderdate) season, year(o_orderdate) >= 1997 kept from orders where year(o_orderdate) between 1996 and 2000""")
 def season_range_warmup(s, d):
     o = table(s, d, "orders").withColumn("season", F.year("o_orderdate").cast("long"))
-    warm = o.filter(F.col("season").between(1997 - 1, 2000))
+    warm = tables.season_range(o, 1997, 2000, 1)
     return warm.select("o_orderkey", "season", (F.col("season") >= 1997).alias("kept"))
 
 
@@ -162,10 +166,9 @@ def climatology(s, d):
 
 @query("""select event_id, round(median(value) over (partition by event_type), 6) med, round(sum(value) over (partition by event_type, cast(ts as date)), 6) total from events""")
 def partition_transforms(s, d):
-    e = table(s, d, "events")
-    med = e.groupBy("event_type").agg(F.median("value").alias("med"))
-    day = Window.partitionBy("event_type", F.to_date("ts"))
-    return e.join(F.broadcast(med), "event_type").select("event_id", r6("med").alias("med"), r6(F.sum("value").over(day)).alias("total"))
+    e = players.position_prior(table(s, d, "events").withColumnRenamed("event_type", "position"), "value", "med")
+    day = Window.partitionBy("position", F.to_date("ts"))
+    return e.select("event_id", r6("med").alias("med"), r6(F.sum("value").over(day)).alias("total"))
 
 
 # --- joins
@@ -177,7 +180,7 @@ def asof_prior_order(s, d):
     return asof_join(table(s, d, "events").select("event_id", "user_id", "ts"), o, ["user_id"], "ts", ["o_orderkey", "o_totalprice"], ties="o_orderkey").select("event_id", "o_orderkey", "o_totalprice")
 
 
-OFFDEF = """select o.o_orderkey game_id, c.c_nationkey off, s.s_nationkey def, l.l_quantity q, l.l_discount dd, l.l_extendedprice p, l.l_returnflag f
+OFFDEF = """select o.o_orderkey game_id, c.c_nationkey off, s.s_nationkey def, l.l_quantity q, l.l_discount dd, l.l_extendedprice p, l.l_returnflag f, l.l_linenumber ln
 from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey join supplier s on l.l_suppkey = s.s_suppkey"""
 
 
@@ -189,17 +192,27 @@ def _plays(s, d) -> DataFrame:
     return li.withColumnRenamed("l_orderkey", "o_orderkey").join(o.select("o_orderkey", "o_custkey"), "o_orderkey").join(c, "o_custkey").join(sup, "l_suppkey")
 
 
-@query(f"""with p as ({OFFDEF} where l.l_discount between 0.02 and 0.08),
-a as (select off team, count(*) n, avg(q) mean_q, avg(case when f = 'R' then q end) ret_q, avg(case when dd >= 0.05 then 1.0 else 0.0 end) deep from p group by off),
-b as (select def team, count(*) n, avg(q) mean_q, avg(case when f = 'R' then q end) ret_q, avg(case when dd >= 0.05 then 1.0 else 0.0 end) deep from p group by def)
-select team, a.n off_plays, b.n def_plays, round(a.mean_q, 6) off_q, round(b.mean_q, 6) def_q, round(a.ret_q, 6) off_ret, round(b.ret_q, 6) def_ret, round(a.deep, 6) off_deep, round(b.deep, 6) def_deep, round(a.mean_q - b.mean_q, 6) net_q from a full join b using (team)""")
+def _box_sql(side: str) -> str:
+    return f"""select {side} team, count(*) n, avg(q) epa, avg(dd * 10) success, avg(case when f = 'R' then q end) pass_epa, avg(case when f = 'N' then q end) rush_epa, avg(case when f = 'R' then 1.0 else 0.0 end) pass_rate,
+avg(case when ln in (1, 2) then q end) early, avg(case when (f = 'R' and q >= 20) or (f = 'N' and q >= 10) then 1.0 else 0.0 end) explosive, avg(case when f is not null then (case when f = 'R' then 1.0 else 0.0 end) - dd end) proe,
+avg(case when f = 'R' and ln <> 4 then (case when ln = 3 then 1.0 else 0.0 end) end) sack, avg((case when ln = 5 then 1.0 else 0.0 end) + (case when q > 40 then 1.0 else 0.0 end)) lost from p group by {side}"""
+
+
+BOX_NAMES = {"n": "plays", "epa": "epa_play", "success": "success_rate", "pass_epa": "pass_epa", "rush_epa": "rush_epa", "pass_rate": "pass_rate", "early": "early_epa", "explosive": "explosive_rate", "proe": "proe", "sack": "sack_rate", "lost": "turnover_rate"}
+
+
+@query(f"""with p as ({OFFDEF} where l.l_discount between 0.02 and 0.08 and s.s_nationkey > 3), a as ({_box_sql("off")}), b as ({_box_sql("def")})
+select team, round(a.epa - b.epa, 6) net_epa, """ + ", ".join(f"round({t}.{c}, 6) {side}_{name}" for t, side in (("a", "off"), ("b", "def")) for c, name in BOX_NAMES.items()) + """ from a full join b using (team)""")
 def box_two_sides(s, d):
-    p = _plays(s, d).filter(F.col("l_discount").between(0.02, 0.08)).select(
-        F.lit("g").alias("game_id"), F.col("c_nationkey").alias("posteam"), F.col("s_nationkey").alias("defteam"), F.lit("pass").alias("play_type"), F.col("l_quantity").alias("epa"),
-        (F.col("l_discount") >= 0.05).cast("double").alias("success"), (F.col("l_returnflag") == "R").cast("double").alias("pass"), (F.col("l_returnflag") != "R").cast("double").alias("rush"), F.lit(1.0).alias("down"))
+    """Line items as plays, some of them with two turnovers or an unknown sack; nations up to 3 only attack."""
+    plays = _plays(s, d).filter(F.col("l_discount").between(0.02, 0.08) & (F.col("s_nationkey") > 3))
+    on = lambda c: c.cast("double")
+    p = plays.select(
+        F.lit("g").alias("game_id"), F.col("c_nationkey").alias("posteam"), F.col("s_nationkey").alias("defteam"), F.lit("pass").alias("play_type"), F.col("l_quantity").alias("epa"), (F.col("l_discount") * 10).alias("success"),
+        on(F.col("l_returnflag") == "R").alias("pass"), on(F.col("l_returnflag") == "N").alias("rush"), on(F.col("l_linenumber")).alias("down"), F.col("l_quantity").alias("yards_gained"), F.col("l_discount").alias("xpass"),
+        F.when(F.col("l_linenumber") != 4, on(F.col("l_linenumber") == 3)).alias("sack"), F.when(F.col("l_linenumber") != 2, on(F.col("l_linenumber") == 5)).alias("interception"), on(F.col("l_quantity") > 40).alias("fumble_lost"))
     b = R.game_box(p)
-    return b.select("team", F.col("off_plays"), F.col("def_plays"), r6("off_epa_play").alias("off_q"), r6("def_epa_play").alias("def_q"), r6("off_pass_epa").alias("off_ret"), r6("def_pass_epa").alias("def_ret"),
-                    r6("off_success_rate").alias("off_deep"), r6("def_success_rate").alias("def_deep"), r6("net_epa").alias("net_q"))
+    return b.select("team", r6("net_epa").alias("net_epa"), *(r6(f"{side}_{c}").alias(f"{side}_{c}") for side in ("off", "def") for c in BOX_NAMES.values()))
 
 
 SIDES = """with u as (select o_orderkey game_id, 1 is_home, o_custkey team, o_totalprice v from orders union all select o_orderkey, 0, o_custkey + 1, o_totalprice / 2 from orders)"""
@@ -212,7 +225,7 @@ def unpivot_sides(s, d):
     return u.select("game_id", (F.col("side") == "home").cast("int").alias("is_home"), F.col("h").alias("team"), r6("hv").alias("v"))
 
 
-@query("""select game_id, round(v, 6) home_v, round(v / 2, 6) away_v, round(v / 2, 6) d_v, round(v * 1.5, 6) s_v, round(v + w, 6) mu_home_x, round(v / 2 + 2 * w, 6) mu_away_x, round((v + w) - (v / 2 + 2 * w), 6) mu_net_x
+@query("""select game_id, round(v, 6) home_v, round(v / 2, 6) away_v, round(v / 2, 6) d_v, round(v * 1.5, 6) s_v, round(v - w, 6) mu_home_x, round(v / 2 - 2 * w, 6) mu_away_x, round((v - w) - (v / 2 - 2 * w), 6) mu_net_x
 from (select o_orderkey game_id, o_totalprice v, cast(o_custkey as double) w from orders)""")
 def pivot_diff_sum_matchup(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("game_id"), F.col("o_totalprice").alias("v"), F.col("o_custkey").cast("double").alias("w"))
@@ -222,6 +235,38 @@ def pivot_diff_sum_matchup(s, d):
     return p.select("game_id", *(r6(c).alias(c) for c in ("home_v", "away_v", "d_v", "s_v", "mu_home_x", "mu_away_x", "mu_net_x")))
 
 
+# The modelling table's columns by name.
+FORM_COLUMNS = """off_epa_play_ewma off_success_rate_ewma off_pass_epa_ewma off_rush_epa_ewma off_early_epa_ewma off_explosive_rate_ewma off_proe_ewma off_sack_rate_ewma off_turnover_rate_ewma
+def_epa_play_ewma def_success_rate_ewma def_pass_epa_ewma def_rush_epa_ewma def_early_epa_ewma def_explosive_rate_ewma net_epa_ewma off_plays_ewma def_plays_ewma
+off_epa_play_r8 def_epa_play_r8 net_epa_r8 off_success_rate_r8 games_this_season margin_r5""".split()
+SUM_COLUMNS = """off_epa_play_ewma def_epa_play_ewma off_success_rate_ewma off_explosive_rate_ewma off_pass_epa_ewma off_proe_ewma off_plays_ewma def_plays_ewma
+points_for_ewma points_against_ewma points_for_r8 points_against_r8""".split()
+SIDE_COLUMNS = list(dict.fromkeys([*FORM_COLUMNS, *SUM_COLUMNS]))
+
+
+def _feature_sql() -> str:
+    """Each side's column number i is a known function of the order; a few are null."""
+    value = lambda i, a, m: f"case when (o_orderkey + {i}) % 29 <> {a} then ((o_orderkey * {i + a} + {a}) % {m}) / 8.0 end"
+    sides = [f"{value(i, 3, 101)} h_{c}, {value(i, 5, 97)} a_{c}" for i, c in enumerate(SIDE_COLUMNS)]
+    diff, both = lambda c: f"round(h_{c} - a_{c}, 6) d_{c}", lambda c: f"round(h_{c} + a_{c}, 6) s_{c}"
+    match = [x for off, name in (("epa_play", "epa"), ("pass_epa", "pass_epa"), ("rush_epa", "rush_epa"), ("success_rate", "success")) for x in (
+        f"round(h_off_{off}_ewma - a_def_{off}_ewma, 6) mu_home_{name}", f"round(a_off_{off}_ewma - h_def_{off}_ewma, 6) mu_away_{name}", f"round((h_off_{off}_ewma - a_def_{off}_ewma) - (a_off_{off}_ewma - h_def_{off}_ewma), 6) mu_net_{name}")]
+    more = ["round((h_points_for_ewma + a_points_against_ewma) / 2 + (a_points_for_ewma + h_points_against_ewma) / 2, 6) s_expected_total", "round((h_points_for_ewma + a_points_against_ewma) / 2 - (a_points_for_ewma + h_points_against_ewma) / 2, 6) d_expected_margin",
+            "round((h_off_plays_ewma + a_def_plays_ewma) / 2 + (a_off_plays_ewma + h_def_plays_ewma) / 2, 6) s_expected_plays"]
+    return f"with t as (select o_orderkey game_id, {', '.join(sides)} from orders) select game_id, {', '.join([*map(diff, FORM_COLUMNS), *map(both, SUM_COLUMNS), *match, *more])} from t"
+
+
+@query(_feature_sql())
+def feature_table(s, d):
+    """Orders as games: two rows of team form become differences, sums, expectations and matchups."""
+    k = F.col("o_orderkey")
+    value = lambda i, a, m: F.when((k + i) % 29 != a, ((k * (i + a) + a) % m) / 8.0)
+    side = lambda home, a, m: table(s, d, "orders").select(k.alias("game_id"), F.lit(home).alias("is_home"), *(value(i, a, m).alias(c) for i, c in enumerate(SIDE_COLUMNS)))
+    wide = features.paired(R.pivot_sides(side(1, 3, 101).unionByName(side(0, 5, 97)), "game_id", "is_home", SIDE_COLUMNS))
+    made = [c for c in wide.columns if c.startswith(("d_", "s_", "mu_"))]
+    return wide.select("game_id", *(r6(c).alias(c) for c in made))
+
+
 @query("""select o.o_orderkey, c.c_mktsegment, n.n_name, round(b.q, 6) q from orders o left join customer c on o.o_custkey = c.c_custkey left join nation n on c.c_nationkey = n.n_nationkey
 left join (select l_orderkey, sum(l_quantity) q from lineitem group by 1) b on o.o_orderkey = b.l_orderkey""")
 def star_left(s, d):
@@ -451,18 +496,29 @@ def mine_cells(s, d):
     return c.select(*CELL_DIMS, "n", r6("rate").alias("rate"), F.col("level").cast("long").alias("level"))
 
 
-@query()
+SETS3 = "((l_returnflag), (l_linestatus), (line), (l_returnflag, l_linestatus), (l_returnflag, line), (l_linestatus, line), (l_returnflag, l_linestatus, line))"
+MASK = "(1 - grouping(l_returnflag)) + 2 * (1 - grouping(l_linestatus)) + 4 * (1 - grouping(line)) mask"
+BINOMIAL_SQL = f"""with d as (select l_returnflag, l_linestatus, cast(l_linenumber as varchar) line, case when l_quantity > 25 then 1.0 else 0.0 end y from lineitem), b as (select avg(y) base from d),
+c as (select l_returnflag, l_linestatus, line, {MASK}, count(*) n, sum(y) k, avg(y) rate from d group by grouping sets {SETS3} having count(*) >= 300),
+x as (select c.*, base, unnest(range(0, n + 1)) i from c, b), m as (select *, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(base) + (n - i) * ln(1 - base)) pmf from x),
+o as (select *, max(case when i = k then pmf end) over (partition by mask, l_returnflag, l_linestatus, line) own from m),
+t as (select l_returnflag, l_linestatus, line, mask, n, k, rate, base, least(1.0, sum(case when pmf <= own * 1.0000001 then pmf else 0.0 end)) p from o group by all),
+r as (select *, row_number() over (order by round(p, 12), mask, l_returnflag nulls first, l_linestatus nulls first, line nulls first) rank, count(*) over () m from t)
+select l_returnflag, l_linestatus, line, n, k, round(rate, 6) rate, round(base, 6) base, round(rate - base, 6) lift, round(p, 6) p, p <= rank / m::double * 0.05 survives from r"""
+
+
+@query(BINOMIAL_SQL)
 def mine_binomial(s, d):
     m = mining.mine(_cells(s, d), "y", CELL_DIMS, 300, 3)
-    return m.select(*CELL_DIMS, "n", "k", r6("rate").alias("rate"), r6("base").alias("base"), r6("lift").alias("lift"), r6("p").alias("p"), "rank", "survives")
+    return m.select(*CELL_DIMS, "n", "k", r6("rate").alias("rate"), r6("base").alias("base"), r6("lift").alias("lift"), r6("p").alias("p"), "survives")
 
 
 @query("""with p as (select event_id, (event_id * 7919 % 10007) / 10007.0 * power((event_id % 100) / 100.0, 4) p from events), r as (select *, row_number() over (order by p, event_id) rank, count(*) over () m from p), k as (select max(rank) last from r where p <= rank / m::double * 0.05)
 select event_id, rank, p <= rank / m::double * 0.05 pointwise, coalesce(rank <= last, false) step_up from r, k""")
 def bh_fdr(s, d):
     p = table(s, d, "events").select("event_id", ((F.col("event_id") * 7919 % 10007) / 10007.0 * F.pow((F.col("event_id") % 100) / 100.0, 4)).alias("p"))
-    a = mining.bh(p, "p", ["event_id"]).withColumnRenamed("survives", "pointwise")
-    b = mining.bh(p, "p", ["event_id"], step_up=True).select("event_id", F.col("survives").alias("step_up"))
+    a = mining.bh(p, "p", ["event_id"], many=True).withColumnRenamed("survives", "pointwise")
+    b = mining.bh(p, "p", ["event_id"], step_up=True, many=True).select("event_id", F.col("survives").alias("step_up"))
     return a.join(b, "event_id").select("event_id", F.col("rank").cast("long").alias("rank"), "pointwise", "step_up")
 
 
@@ -489,7 +545,14 @@ def residual_logistic(s, d):
     return m.select("l_returnflag", "line", "n", F.round("excess", 4).alias("excess"), F.round("p", 3).alias("p"), "hold_n", "survives", "replicated")
 
 
-@query()
+CONFIRM_SQL = f"""with d as (select l_returnflag, l_linestatus, cast(l_linenumber as varchar) line, case when l_quantity > 25 then 1.0 else 0.0 end y, l_orderkey % 2 half from lineitem), b as (select half, avg(y) base from d group by half),
+c as (select half, l_returnflag, l_linestatus, line, {MASK}, count(*) n, avg(y) rate from d group by grouping sets {SETS3.replace(", (l_returnflag, l_linestatus, line))", ")").replace("(l", "(half, l")}),
+f as (select c.*, rate - base lift from c join b using (half)), h as (select * from f where half = 1 and n >= 100)
+select f.l_returnflag, f.l_linestatus, f.line, f.n, round(f.lift, 6) lift, h.n hold_n, round(h.lift, 6) hold_lift, coalesce(sign(f.lift) = sign(h.lift) and abs(h.lift) >= 0.5 * abs(f.lift), false) replicated
+from f left join h on f.mask = h.mask and f.l_returnflag is not distinct from h.l_returnflag and f.l_linestatus is not distinct from h.l_linestatus and f.line is not distinct from h.line where f.half = 0 and f.n >= 300"""
+
+
+@query(CONFIRM_SQL)
 def confirm_holdout(s, d):
     c = _cells(s, d)
     found = mining.mine(c.filter("l_orderkey % 2 = 0"), "y", CELL_DIMS, 300, 2)
@@ -544,18 +607,37 @@ def negbinom_over(s, d):
     return g.select("o_custkey", r6(players.negbinom_over(F.col("m"), F.col("v"), 3.5)).alias("over"))
 
 
-@query()
+PLAYER_SQL = """with w as (select user_id p, week(ts) wk, sum(value) targets, avg(value) carries, avg(value / 100) share, user_id % 8 team, case when user_id % 2 = 0 then 'WR' else 'RB' end pos from events group by all),
+g as (select *, row_number() over (partition by p order by wk) - 1 n, sum(targets) over (partition by wk, team) tt from w),
+f as (select *, sum(targets * power(2.0, n / 5.0)) over b / sum(power(2.0, n / 5.0)) over b te, sum(share * power(2.0, n / 5.0)) over b / sum(power(2.0, n / 5.0)) over b se, sum(tt * power(2.0, n / 5.0)) over b / sum(power(2.0, n / 5.0)) over b tte,
+case when count(targets) over (partition by p order by wk rows between 8 preceding and 1 preceding) >= 3 then stddev_samp(targets) over (partition by p order by wk rows between 8 preceding and 1 preceding) end sd
+from g window b as (partition by p order by wk rows between unbounded preceding and 1 preceding)), m as (select pos, median(te) prior from f group by pos),
+o as (select p, wk, team, pos from w where wk % 2 = 0 and p % 9 = 0), c as (select wk, team, pos, count(*) n from o group by all), v as (select o.wk, o.team, coalesce(sum(f.se), 0.0) s from o join f on o.p = f.p and o.wk = f.wk group by all)
+select cast(f.p as varchar) player_id, f.wk "week", round(te, 6) targets_ewma, round(sd, 6) targets_std, f.n games_played, round(f.n / (f.n + 4.0) * coalesce(te, prior) + (1 - f.n / (f.n + 4.0)) * prior, 6) targets_shrunk,
+coalesce(c.n, 0) * 1.0 pos_teammates_out, round(coalesce(v.s, 0.0), 6) vacated_target_share, round(tte, 6) team_targets_ewma, case when f.p % 5 <> 0 then 0.5 end offense_pct
+from f join m using (pos) left join c on f.wk = c.wk and f.team = c.team and f.pos = c.pos left join v on f.wk = v.wk and f.team = v.team"""
+
+
+@query(PLAYER_SQL)
 def player_features(s, d):
     e = table(s, d, "events")
     w = e.groupBy(F.col("user_id").cast("string").alias("player_id"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week")).agg(F.sum("value").alias("targets"), F.avg("value").alias("carries"), F.avg(F.col("value") / 100).alias("target_share"))
     w = w.withColumn("player_display_name", F.col("player_id")).withColumn("team", F.col("player_id").cast("int") % 8).withColumn("position", F.when(F.col("player_id").cast("int") % 2 == 0, "WR").otherwise("RB"))
     inj = w.filter("week % 2 = 0 and int(player_id) % 9 = 0").select("season", "week", "team", F.col("player_display_name").alias("full_name"), "position", F.lit(1).alias("is_out"))
-    snaps = w.select("season", "week", "team", F.col("player_display_name").alias("player"), F.lit("g").alias("game_id"), F.lit(10.0).alias("offense_snaps"), F.lit(0.5).alias("offense_pct"))
+    snaps = w.select("season", "week", "team", F.col("player_display_name").alias("player"), F.lit("g").alias("game_id"), F.lit(10.0).alias("offense_snaps"), F.lit(0.5).alias("offense_pct")).filter("int(player) % 5 <> 0")
     f = players.player_features(w, snaps, inj)
     return f.select("player_id", "week", r6("targets_ewma").alias("targets_ewma"), r6("targets_std").alias("targets_std"), "games_played", r6("targets_shrunk").alias("targets_shrunk"), "pos_teammates_out", r6("vacated_target_share").alias("vacated_target_share"), r6("team_targets_ewma").alias("team_targets_ewma"), "offense_pct")
 
 
-@query()
+STARTER_SQL = """with st as (select user_id p, week(ts) wk, sum(value) / 20 x, row_number() over (partition by user_id order by week(ts)) k from events group by user_id, week(ts)),
+a as (select p, wk, k, sum(x * power(2.0, k / 4.0)) over (partition by p order by wk) / sum(power(2.0, k / 4.0)) over (partition by p order by wk) e from st),
+g as (select ev.event_id, user_id % 8 team, week(ts) wk, ts, user_id qb from events ev), j as (select g.*, a.e, a.k from g asof left join a on g.qb = a.p and g.wk > a.wk),
+c as (select *, count(e) over (partition by team order by wk, ts, event_id) n, lag(qb) over (partition by team order by wk, ts, event_id) was from j),
+u as (select *, sum(e * power(2.0, n / 8.0)) over b / sum(case when e is not null then power(2.0, n / 8.0) end) over b usual from c window b as (partition by team order by wk, ts, event_id rows between unbounded preceding and 1 preceding))
+select event_id game_id, round(e, 6) qb_epa_ewma, k qb_starts, case when was <> qb then 1 else 0 end qb_is_new, case when coalesce(k, 0) < 8 then 1 else 0 end qb_is_rookie_ish, round(e - usual, 6) qb_epa_delta from u"""
+
+
+@query(STARTER_SQL)
 def starter_form(s, d):
     e = table(s, d, "events")
     starts = e.groupBy(F.col("user_id").alias("player_id"), F.lit(2024).alias("season"), F.weekofyear("ts").cast("long").alias("week")).agg(F.lit(20.0).alias("attempts"), F.sum("value").alias("passing_epa"))
@@ -573,7 +655,18 @@ def _matches(s, d) -> DataFrame:
     return p.join(o, "o_orderkey").filter("home_team <> away_team").withColumnRenamed("o_orderkey", "game_id").withColumn("location", F.when(F.col("game_id") % 10 == 0, "Neutral").otherwise("Home"))
 
 
-@query()
+ELO_SQL = """with recursive m as materialized (select o.o_orderkey id, any_value(c.c_nationkey) h, min(s.s_nationkey) a, sum(case when l_linenumber % 2 = 0 then l_quantity else -l_quantity end) r, any_value(o.o_orderdate) k
+from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey join supplier s on l.l_suppkey = s.s_suppkey group by o.o_orderkey),
+g as materialized (select id, h, a, r, year(k)::int y, row_number() over (order by k, id) n, case when id % 10 = 0 then 0.0 else 55.0 end f from m where h <> a),
+e(n, id, h, a, d, p, x, y) as (select 0::bigint, null::bigint, null::double, null::double, null::double, null::double, list_transform(range(25), lambda i: null::double), list_transform(range(25), lambda i: null::int)
+union all select n, id, rh, ra, rh + f - ra, p, list_transform(x, lambda v, i: case when i = h + 1 then rh + delta when i = a + 1 then ra - delta else v end), list_transform(ys, lambda v, i: case when i in (h + 1, a + 1) then y else v end)
+from (select *, 20.0 * ln(abs(r) + 1) ** (case when r = 0 then 0 else 1 end) * (case when r = 0 then 1.0 else 2.2 / (0.001 * (case when r > 0 then rh + f - ra else ra - rh - f end) + 2.2) end) * ((case when r > 0 then 1.0 when r < 0 then 0.0 else 0.5 end) - p) delta
+from (select *, 1 / (1 + 10 ** (-(rh + f - ra) / 400)) p from (select g.n, g.id, g.h, g.a, g.r, g.y, g.f, e.x, e.y ys, coalesce(1500 + power(1 - 0.33, g.y - e.y[g.h + 1]) * (e.x[g.h + 1] - 1500), 1500.0) rh, coalesce(1500 + power(1 - 0.33, g.y - e.y[g.a + 1]) * (e.x[g.a + 1] - 1500), 1500.0) ra
+from e join g on g.n = e.n + 1) q1) q2) q3)
+select id game_id, round(h, 6) elo_home, round(a, 6) elo_away, round(d, 6) elo_diff, round(p, 6) elo_prob_home, round(d / 25, 6) elo_spread_home from e where n > 0"""
+
+
+@query(ELO_SQL)
 def elo_pre(s, d):
     r = ratings.elo(_matches(s, d))
     return r.select("game_id", *(r6(c).alias(c) for c in r.columns[1:]))
@@ -625,7 +718,7 @@ def _walk(s, d, models) -> DataFrame:
 
 
 FEATURES = ["d_form", "s_form", "d_games"]
-NAMES = ["home_win", "spread", "total"]
+NAMES = ["win", "spread", "total"]
 
 
 @query()
@@ -687,6 +780,43 @@ def props_backtest(s, d):
     return audits.props_report(got, p.dropDuplicates(["player_id", "abs_week"])).select("vacated", "n", *(F.round(c, 3).alias(c) for c in ("r2_plain", "r2_informed", "edge")))
 
 
+BETS_SQL = """(select event_id game_id, m.model, week(ts) season, isodow(ts) * 3 "week", (event_id * m.k % 997) / 997.0 p_home, ((event_id * 37) % 991) / 991.0 market, (event_id * m.k % 41) - 20.0 pred_spread, (event_id % 15) - 7.0 vegas_spread, 30.0 + event_id % 31 vegas_total,
+20.0 + (event_id * m.k % 51) pred_total, case when value > 50 then 1.0 when value < 30 then 0.0 else 0.5 end home_win, round(value - 40) spread_actual, round(value) total_actual from events, (values ('vegas', 37), ('a', 13)) m(model, k))"""
+
+
+def _grid_sql() -> str:
+    """One select for each strategy."""
+    juice = "100 / 110e0"
+    edge = {"ML": ("home_win in (0, 1)", "abs(p_home - mk)", "(p_home > 0.5) = (home_win = 1)", "1 / least(greatest(case when p_home > 0.5 then mk else 1 - mk end, 1e-6), 1e0) / 1.045e0 - 1"),
+            "ATS": ("spread_actual <> vegas_spread", "abs(pred_spread - vegas_spread)", "(pred_spread > vegas_spread) = (spread_actual > vegas_spread)", juice),
+            "OU": ("total_actual <> vegas_total", "abs(pred_total - vegas_total)", "(pred_total > vegas_total) = (total_actual > vegas_total)", juice)}
+    levels = {"ML": ("0.00", "0.05", "0.10"), "ATS": ("0pt", "1pt", "3pt"), "OU": ("0.0pt", "1.5pt", "3.0pt")}
+    sides = {"ML any": "true", "ML dogs": "(p_home > 0.5) <> (mk > 0.5)", "ML favs": "(p_home > 0.5) = (mk > 0.5)", "ATS any": "true", "ATS home": "pred_spread > vegas_spread", "ATS away": "pred_spread <= vegas_spread",
+             "ATS dogs": "(pred_spread > vegas_spread) <> (vegas_spread > 0)", "OU any": "true", "OU over": "pred_total > vegas_total", "OU under": "pred_total <= vegas_total"}
+    contexts = {"all games": "true", "wk1-6": "\"week\" <= 6", "wk7-13": "\"week\" between 7 and 13", "wk14+": "\"week\" >= 14", "line<=3": "abs(vegas_spread) <= 3", "line 3-7": "abs(vegas_spread) > 3 and abs(vegas_spread) <= 7",
+                "line>7": "abs(vegas_spread) > 7", "total<=44": "vegas_total <= 44", "total>=48": "vegas_total >= 48"}
+    parts = []
+    for side, mask in sides.items():
+        valid, size, won, odds = edge[side.split()[0]]
+        for level in levels[side.split()[0]]:
+            for context, where in contexts.items():
+                parts.append(f"select model, '{context}' context, '{side} | edge>={level}' bet, season, {won} won, case when {won} then {odds} else -1.0e0 end profit from j where {valid} and {mask} and {size} >= {level.removesuffix('pt')} and {where}")
+    return f"""with j as (select p.*, m.p_home mk from {BETS_SQL} p join (select game_id, p_home from {BETS_SQL} where model = 'vegas') m using (game_id)), h as (select median(season) half from j), b as ({" union all ".join(parts)})
+select model, context, bet, count(*) n, round(avg(case when won then 1.0 else 0.0 end), 6) hit_rate, round(avg(profit), 6) roi, round(avg(profit) / (stddev_samp(profit) / sqrt(count(*))), 5) t, round(avg(case when season <= half then profit end), 6) roi_early,
+round(avg(case when season > half then profit end), 6) roi_late from b, h group by all having count(*) >= 60"""
+
+
+@query(_grid_sql())
+def strategy_grid(s, d):
+    """Every strategy's bets and returns, halves split at the median season."""
+    i = F.col("event_id")
+    e = table(s, d, "events").withColumn("m", F.explode(F.array(F.struct(F.lit("vegas").alias("model"), F.lit(37).alias("k")), F.struct(F.lit("a").alias("model"), F.lit(13).alias("k")))))
+    p = e.select(i.alias("game_id"), "m.model", F.weekofyear("ts").alias("season"), ((F.weekday("ts") + 1) * 3).alias("week"), ((i * F.col("m.k") % 997) / 997.0).alias("p_home"), ((i * F.col("m.k") % 41) - 20.0).alias("pred_spread"), ((i % 15) - 7.0).alias("vegas_spread"),
+                 (30.0 + i % 31).alias("vegas_total"), (20.0 + (i * F.col("m.k") % 51)).alias("pred_total"), F.when(F.col("value") > 50, 1.0).when(F.col("value") < 30, 0.0).otherwise(0.5).alias("home_win"), F.round(F.col("value") - 40).alias("spread_actual"), F.round("value").alias("total_actual"))
+    g = mining.strategies(p)
+    return g.select("model", "context", "bet", "n", *(r6(c).alias(c) for c in ("hit_rate", "roi")), F.round("t", 5).alias("t"), r6("roi_early").alias("roi_early"), r6("roi_late").alias("roi_late"))
+
+
 @query()
 def strategy_scan(s, d):
     from priorframe.models.baselines import Elo, Market
@@ -753,9 +883,9 @@ def ou_record(s, d):
     return metrics.evaluate(p, metrics.TARGETS[2], ["model"]).select("model", "ou_wins", "ou_losses")
 
 
-@query(f"""select 'home_win' target, model, season, {BINARY_SQL}, null::double mae from {PRED_SQL} group by model, season union all by name select 'spread' target, model, season, count(*) n_games, null::bigint n_scored, null::double accuracy, null::double log_loss, null::double brier, round(avg(abs(pred_spread - spread_actual)), 6) mae from {PRED_SQL} group by model, season""")
+@query(f"""select 'win' target, model, season, {BINARY_SQL}, null::double mae from {PRED_SQL} group by model, season union all by name select 'spread' target, model, season, count(*) n_games, null::bigint n_scored, null::double accuracy, null::double log_loss, null::double brier, round(avg(abs(pred_spread - spread_actual)), 6) mae from {PRED_SQL} group by model, season""")
 def by_season_sets(s, d):
-    m = metrics.by_season(_predictions(s, d), metrics.resolve(["home_win", "spread"]))
+    m = metrics.by_season(_predictions(s, d), metrics.resolve(["win", "spread"]))
     return m.select("target", "model", "season", "n_games", "n_scored", *(r6(c).alias(c) for c in ("accuracy", "log_loss", "brier", "mae")))
 
 
@@ -772,6 +902,35 @@ def scorecard(s, d):
     return w.join(r, "model").select("model", "n", *(r6(c).alias(c) for c in ("within_3", "within_7", "r2")))
 
 
+RECENT_SQL = """(select event_id, event_type model, week(ts) "week", (event_id * 37 % 1001) / 1001.0 p, ((event_id * 13 % 41) - 20.0) m, 30.0 + event_id % 33 t, case when event_id % 17 <> 0 then event_id % 37 end * 1.0 h, (event_id * 7 % 33) * 1.0 a from events)"""
+
+
+@query(f"""select model, "week", count(*) n, cast(sum(case when (p > 0.5) = (h > a) then 1 else 0 end) as bigint) hits, round(avg(case when (p > 0.5) = (h > a) then 1.0 else 0.0 end), 6) hit_rate, round(avg(abs(h + a - t)), 6) total_miss,
+round(avg(case when abs(h + a - t) <= 7 then 1.0 else 0.0 end), 6) within_7, round(avg(case when abs(h + a - t) <= 14 then 1.0 else 0.0 end), 6) within_14, round(avg((abs(h - round_even((t + m) / 2, 0)) + abs(a - round_even((t - m) / 2, 0))) / 2), 6) team_miss,
+count(*) filter (greatest(p, 1 - p) >= 0.70) sure_n, cast(sum(case when (p > 0.5) = (h > a) then 1 else 0 end) filter (greatest(p, 1 - p) >= 0.70) as bigint) sure_hits from {RECENT_SQL} where h is not null group by model, "week" """)
+def recent_report(s, d):
+    i = F.col("event_id")
+    p = table(s, d, "events").select(F.col("event_type").alias("model"), F.weekofyear("ts").cast("long").alias("week"), ((i * 37 % 1001) / 1001.0).alias("p_home"), ((i * 13 % 41) - 20.0).alias("pred_spread"), (30.0 + i % 33).alias("pred_total"),
+                                     F.when(i % 17 != 0, i % 37).cast("double").alias("home_score"), (i * 7 % 33).cast("double").alias("away_score"))
+    r = metrics.recent(p, ["model", "week"])
+    return r.select("model", "week", "n", "hits", *(r6(c).alias(c) for c in ("hit_rate", "total_miss", "within_7", "within_14", "team_miss")), "sure_n", "sure_hits")
+
+
+@query("""select o_orderkey mask, round((o_totalprice - 150000) / 1e7, 6) excess from orders where o_orderkey % 3 = 0 and o_custkey % 2 = 0 and abs((o_totalprice - 150000) / 1e7) >= 0.015 order by abs((o_totalprice - 150000) / 1e7) desc, o_orderkey limit 10""")
+def noteworthy_cells(s, d):
+    found = table(s, d, "orders").select(F.col("o_orderkey").alias("mask"), ((F.col("o_totalprice") - 150000) / 1e7).alias("excess"), (F.col("o_orderkey") % 3 == 0).alias("survives"), (F.col("o_custkey") % 2 == 0).alias("replicated"))
+    return mining.noteworthy(found).select("mask", r6("excess").alias("excess"))
+
+
+@query("""with w as (select user_id, week(ts) wk, user_id % 8 team from events group by all), n as (select user_id, wk, max(c) c from (select user_id, week(ts) wk, event_id, value c from events where user_id % 3 = 0 and event_id % 2 = 0) group by all)
+select count(*) as "weeks", count(n.c) matched, round(count(n.c) / count(*)::double, 6) rate, case when count(n.c) / count(*)::double < 0.5 then printf('only %.1f%% of player weeks found their snaps', count(n.c) / count(*)::double * 100) end warning from w left join n using (user_id, wk)""")
+def snap_match_rate(s, d):
+    e = table(s, d, "events").select(F.lit(2024).alias("season"), F.weekofyear("ts").alias("week"), (F.col("user_id") % 8).alias("team"), F.col("user_id").cast("string").alias("player_display_name"), "user_id", "event_id", "value")
+    weeks = e.select("season", "week", "team", "player_display_name").distinct()
+    snaps = e.filter("user_id % 3 = 0 and event_id % 2 = 0").select("season", "week", "team", F.col("player_display_name").alias("player"), F.col("event_id").cast("string").alias("game_id"), F.lit(10.0).alias("offense_snaps"), (F.col("value") / 100).alias("offense_pct"))
+    return players.match_rate(players.with_snaps(weeks, snaps)).select("weeks", "matched", r6("rate").alias("rate"), "warning")
+
+
 @query()
 def scorecard_interval(s, d):
     b = metrics.bands(_predictions(s, d), "home_win", "p_home").withColumn("k", F.round(F.col("hit_rate") * F.col("n")).cast("long"))
@@ -784,16 +943,21 @@ def weekly_record(s, d):
     return m.select("model", "season", "week", "n_games", "n_scored", *(r6(c).alias(c) for c in ("accuracy", "log_loss", "brier")))
 
 
-@query("""select count(*) n, round(sum(value), 4) total, round(avg(value), 6) mean from events""")
+@query("""select count(*) n, round(sum(value), 4) total, round(avg(value), 6) mean, true together, true moved, true unrelated from events""")
 def shuffled_labels(s, d):
-    e = metrics.shuffled(table(s, d, "events").select("event_id", "value"), ["value"], "event_id", 1729)
-    return e.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), r6(F.avg("value")).alias("mean"))
+    """One permutation for both columns: pairs stay together, most rows get another row's, and old and new values are unrelated."""
+    e = table(s, d, "events").select("event_id", "value", (F.col("value") * 3 + 1).alias("twin"), F.col("value").alias("old"), F.col("event_id").alias("was"))
+    m = metrics.shuffled(e, ["value", "twin", "was"], "event_id", 1729)
+    other = F.avg((F.col("was") != F.col("event_id")).cast("double"))
+    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), r6(F.avg("value")).alias("mean"), F.bool_and(F.abs(F.col("value") * 3 + 1 - F.col("twin")) < 1e-9).alias("together"),
+                 (other > 0.99).alias("moved"), (F.abs(F.corr("value", "old")) < 6 / F.sqrt(F.count(F.lit(1)))).alias("unrelated"))
 
 
-@query("""select doc_id, quality, toxic, (doc_id * 7 % 100) / 100.0 p, case when (doc_id * 7 % 100) / 100.0 > 0.5 then 1 else 0 end = quality right_ from labels where quality is not null""")
+@query("""select toxic, round(avg(case when ((doc_id * 7 % 100) / 100.0 > 0.5) = (quality = 1) then 1.0 else 0.0 end), 6) accuracy, count(*) n from labels where quality is not null and doc_id % 10 <> 3 group by toxic""")
 def label_accuracy(s, d):
-    p = (F.col("doc_id") * 7 % 100) / 100.0
-    return table(s, d, "labels").filter("quality is not null").select("doc_id", "quality", "toxic", p.alias("p"), ((p > 0.5).cast("int") == F.col("quality")).alias("right_"))
+    known = table(s, d, "labels").select("toxic", F.col("quality").cast("double").alias("y"), F.when(F.col("doc_id") % 10 != 3, (F.col("doc_id") * 7 % 100) / 100.0).alias("p"))
+    ok = metrics.both("y", "p")
+    return known.groupBy("toxic").agg(r6(metrics.accuracy("y", "p")).alias("accuracy"), F.count(F.when(ok, 1)).alias("n"))
 
 
 # --- scalar functions
@@ -817,21 +981,38 @@ def kickoff_parse(s, d):
     return o.select("o_orderkey", kickoff(F.col("o_orderdate"), F.col("t")).alias("kickoff"), hour(F.col("t")).alias("h"))
 
 
-@query("""select event_id, case when ts < timestamp '2024-03-10' then strftime(ts + interval 5 hour, '%Y-%m-%d %H:%M:%S') end utc, case when ts + interval 5 hour > timestamp '2024-01-15 12:00:00' then true else false end before_kickoff from events""")
+@query("""with k as (select event_id, case when event_id % 3 = 0 then ts when event_id % 3 = 1 then timestamp '2024-03-10 00:00:00' + interval (event_id % 300) minute else timestamp '2024-11-03 00:00:00' + interval (event_id % 300) minute end w from events),
+u as (select *, case when event_id % 3 = 0 then w + interval 5 hour when event_id % 3 = 1 and hour(w) < 2 then w + interval 5 hour when event_id % 3 = 1 and hour(w) >= 3 then w + interval 4 hour
+when event_id % 3 = 2 and hour(w) < 1 then w + interval 4 hour when event_id % 3 = 2 and hour(w) >= 2 then w + interval 5 hour end utc from k),
+l as (select *, case when event_id % 2 = 0 then timestamp '2024-03-10 06:30:00' else timestamp '2024-11-03 06:30:00' end at_ from u)
+select event_id, strftime(utc, '%Y-%m-%dT%H:%M:%S+00:00') utc, coalesce(at_ < utc, false) before_kickoff from l""")
 def before_kickoff(s, d):
-    e = table(s, d, "events").withColumn("kickoff", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).withColumn("logged_at", F.lit("2024-01-15T12:00:00+00:00"))
-    b = predlog.before_kickoff(e)
-    return b.select("event_id", F.date_format(to_utc(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("utc"), "before_kickoff")
+    """Kickoffs around both clock changes: skipped and repeated times are unknown."""
+    i, start = F.col("event_id"), lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("event_id") % 300).cast("int"))
+    e = table(s, d, "events").withColumn("w", F.when(i % 3 == 0, F.col("ts").cast("timestamp_ntz")).when(i % 3 == 1, start("2024-03-10")).otherwise(start("2024-11-03")))
+    logged = F.when(i % 2 == 0, F.when(i % 4 == 0, "2024-03-10T06:30:00+00:00").otherwise("2024-03-10T01:30:00-05:00")).otherwise("2024-11-03T06:30:00+00:00")
+    b = predlog.before_kickoff(e.withColumn("kickoff", F.replace(F.col("w").cast("string"), F.lit(" "), F.lit("T"))).withColumn("logged_at", logged))
+    return b.select("event_id", stamp(to_utc(F.col("w"))).alias("utc"), "before_kickoff")
+
 
+LOG_SQL = """(select *, case when event_id % 11 = 0 then 'nan' when value = 0 then '0' when abs(value) < 1e-4 then null else printf('%.10g', case when event_id % 3 = 0 then -value / 7 else value * 1000 / 3 end) end p from events)"""
 
-@query("""select event_id, substr(sha256('model=' || event_type || '|game_id=' || event_id || '|season=' || user_id), 1, 16) row_hash, case when event_id % 7 = 0 then 'unverifiable' when event_id % 5 = 0 then 'tampered' else 'ok' end status from events""")
+
+@query(f"""select event_id, substr(sha256('logged_at=2024-09-01T12:00:00+00:00|vintage=v1|model=' || event_type || '|game_id=' || event_id || '|season=' || user_id || '|p_home=' || p), 1, 16) row_hash,
+case when event_id % 13 = 0 then 'tampered' when event_id % 7 = 0 then 'unverifiable' when event_id % 5 = 0 then 'tampered' else 'ok' end status from {LOG_SQL}""")
 def log_hash_verify(s, d):
+    """Signed rows with doubles; some are back-dated, some changed, and some have a hash of unknown fields."""
     from priorframe.functions.text import row_hash
 
-    e = table(s, d, "events").select("event_id", F.col("event_type").alias("model"), F.col("event_id").cast("string").alias("game_id"), F.col("user_id").cast("int").alias("season"))
-    fields = ["model", "game_id", "season"]
-    log = e.withColumn("row_hash", row_hash(fields, dict(e.dtypes))).withColumn("signed", F.col("row_hash")).withColumn("hash_fields", F.when(F.col("event_id") % 7 != 0, ",".join(fields)))
-    log = log.withColumn("row_hash", F.when(F.col("event_id") % 5 == 0, F.lit("0" * 16)).otherwise(F.col("row_hash")))
+    i = F.col("event_id")
+    value = F.when(i % 11 != 0, F.when(i % 3 == 0, -F.col("value") / 7).otherwise(F.col("value") * 1000 / 3))
+    e = table(s, d, "events").select(
+        "event_id", F.lit("2024-09-01T12:00:00+00:00").alias("logged_at"), F.lit("v1").alias("vintage"), F.col("event_type").alias("model"), i.cast("string").alias("game_id"), F.col("user_id").cast("int").alias("season"), value.alias("p_home"))
+    fields = ["logged_at", "vintage", "model", "game_id", "season", "p_home"]
+    log = e.withColumn("row_hash", row_hash(fields, dict(e.dtypes))).withColumn("signed", F.col("row_hash"))
+    log = log.withColumn("hash_fields", F.when((i % 7 != 0) | (i % 13 == 0), ",".join(fields)))
+    log = log.withColumn("row_hash", F.when((i % 5 == 0) | (i % 7 == 0), F.lit("0" * 16)).otherwise(F.col("row_hash")))
+    log = log.withColumn("logged_at", F.when(i % 13 == 0, "2020-01-01T00:00:00+00:00").otherwise(F.col("logged_at")))
     return predlog.verify(log).select("event_id", F.col("signed").alias("row_hash"), "status")
 
 

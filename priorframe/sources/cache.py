@@ -9,6 +9,7 @@ import shutil
 import time
 import urllib.request
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -66,21 +67,40 @@ class Manifest:
         return hashlib.sha256(json.dumps(pairs, sort_keys=True).encode()).hexdigest()[:12]
 
 
-def fetch(folder: str | Path, urls: dict[str, str], optional: frozenset[str] = frozenset(), force: bool = False, get: Callable[..., dict] = download) -> Manifest:
-    """Bring the cache up to date: keep files that are there, adopt those not recorded, forgive optional ones that fail."""
+@dataclass(frozen=True)
+class Source:
+    """A file of the cache: its key in the manifest, where it comes from and its name; an optional one may be missing there."""
+
+    key: str
+    url: str
+    name: str
+    optional: bool = False
+
+
+def adopt(source: Source, dest: Path) -> dict:
+    """The entry of a file that came into the cache by another way."""
+    return {"url": source.url, "fetched_at": datetime.now(timezone.utc).isoformat(), "bytes": dest.stat().st_size, "sha256": file_sha256(dest), "note": "adopted pre-existing cache file"}
+
+
+def fetch(folder: str | Path, sources: list[Source], force: bool = False, get: Callable[..., dict] = download) -> Manifest:
+    """Bring the cache up to date: keep files that are there, record those that aren't recorded, forgive optional ones that fail."""
     folder = Path(folder)
     manifest = Manifest(folder / "manifest.json")
-    for key, url in urls.items():
-        dest = folder / key
-        if dest.exists() and dest.stat().st_size and not force:
-            if key not in manifest.entries:
-                manifest.entries[key] = {"url": url, "etag": None, "last_modified": None, "fetched_at": None, "bytes": dest.stat().st_size, "sha256": file_sha256(dest)}
-            continue
+
+    def entry(source: Source) -> dict | None:
+        dest = folder / source.name
+        here = dest.exists() and dest.stat().st_size > 0
+        if here and not force:
+            return manifest.entries.get(source.key) or adopt(source, dest)
         try:
-            manifest.entries[key] = get(url, dest)
+            return get(source.url, dest)
         except OSError:
-            if key not in optional:
+            if not source.optional:
                 raise
+            return manifest.entries.get(source.key)
+
+    found = {s.key: entry(s) for s in sources}
+    manifest.entries |= {k: e for k, e in found.items() if e}
     manifest.save()
     return manifest
 
@@ -108,9 +128,20 @@ def content_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> Data
 
 
 def vintage_of(hashes: DataFrame) -> DataFrame:
-    """One row: 12 hex digits over all (name, sha256) in order of name."""
+    """One row: the vintage that a manifest of these (key, sha256) has; "unknown" without any.
+
+    The manifest's digest is over a JSON object with sorted keys; the same text is put together here.
+    """
     from pyspark.sql import functions as F
 
-    name = F.element_at(F.split("path", "/"), -1)
-    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", name, "sha256"))), "|")
+    pair = F.concat(F.lit('"'), "key", F.lit('": "'), "sha256", F.lit('"'))  # keys are plain names
+    pairs = F.array_sort(F.collect_list(F.struct("key", pair.alias("pair"))))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda x: x["pair"]), ", "), F.lit("}"))
     return hashes.agg(F.when(F.count(F.lit(1)) == 0, "unknown").otherwise(F.substring(F.sha2(text, 256), 1, 12)).alias("vintage"))
+
+
+def keyed(hashes: DataFrame) -> DataFrame:
+    """content_hashes with the key that each file has in a manifest: its name without what follows the first dot."""
+    from pyspark.sql import functions as F
+
+    return hashes.select(F.substring_index(F.element_at(F.split("path", "/"), -1), ".", 1).alias("key"), "bytes", "sha256")

@@ -11,11 +11,10 @@ from priorframe.operators.relational import union_all
 
 # The columns of the sources.
 PLAY_COLUMNS = {
-    "game_id": "string", "play_id": "double", "season": "int", "week": "int", "season_type": "string", "home_team": "string", "away_team": "string", "posteam": "string", "defteam": "string",
-    "play_type": "string", "epa": "double", "success": "double", "pass": "double", "rush": "double", "down": "double", "ydstogo": "double", "yards_gained": "double", "xpass": "double", "wp": "double",
-    "sack": "double", "interception": "double", "fumble_lost": "double", "qb_dropback": "double", "game_half": "string", "qtr": "double", "total_home_score": "double", "total_away_score": "double",
-    "score_differential": "double", "yardline_100": "double", "half_seconds_remaining": "double", "game_seconds_remaining": "double", "quarter_seconds_remaining": "double", "shotgun": "double",
-    "no_huddle": "double", "goal_to_go": "double", "fixed_drive": "double", "fixed_drive_result": "string",
+    "game_id": "string", "season": "int", "week": "int", "season_type": "string", "posteam": "string", "defteam": "string", "play_type": "string", "epa": "double", "success": "double", "pass": "double",
+    "rush": "double", "down": "double", "ydstogo": "double", "yardline_100": "double", "qtr": "double", "score_differential": "double", "xpass": "double", "qb_epa": "double", "cpoe": "double",
+    "yards_gained": "double", "penalty": "double", "special": "double", "sack": "double", "interception": "double", "fumble_lost": "double", "touchdown": "double", "first_down": "double",
+    "air_yards": "double", "series_success": "double", "drive": "double", "shotgun": "double", "no_huddle": "double", "wp": "double", "game_half": "string", "total_home_score": "double", "total_away_score": "double",
 }
 GAME_COLUMNS = {
     "game_id": "string", "season": "int", "game_type": "string", "week": "int", "gameday": "date", "weekday": "string", "gametime": "string", "away_team": "string", "away_score": "double",
@@ -30,6 +29,15 @@ PLAYER_COLUMNS = {
 }
 SNAP_COLUMNS = {"game_id": "string", "season": "int", "week": "int", "player": "string", "position": "string", "team": "string", "offense_snaps": "double", "offense_pct": "double"}
 INJURY_COLUMNS = {"season": "int", "week": "int", "team": "string", "gsis_id": "string", "position": "string", "full_name": "string", "report_status": "string"}
+# The columns of plays that mining reads.
+MINING_COLUMNS = {
+    "game_id": "string", "play_id": "double", "season": "int", "week": "int", "qtr": "double", "quarter_seconds_remaining": "double", "game_seconds_remaining": "double", "half_seconds_remaining": "double",
+    "down": "double", "ydstogo": "double", "yardline_100": "double", "score_differential": "double", "posteam": "string", "defteam": "string", "home_team": "string", "away_team": "string",
+    "play_type": "string", "epa": "double", "wp": "double", "success": "double", "yards_gained": "double", "touchdown": "double", "interception": "double", "fumble_lost": "double", "sack": "double",
+    "penalty": "double", "fourth_down_converted": "double", "fourth_down_failed": "double", "third_down_converted": "double", "third_down_failed": "double", "drive": "double",
+    "fixed_drive_result": "string", "goal_to_go": "double", "shotgun": "double", "no_huddle": "double", "posteam_timeouts_remaining": "double", "game_half": "string",
+    "total_home_score": "double", "total_away_score": "double",
+}
 ABSENT = ("Out", "Doubtful")
 
 
@@ -68,7 +76,12 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
 
 def read_plays(spark: SparkSession, folder: str, seasons: list[int], columns: list[str] | None = None) -> DataFrame:
     wanted = {c: PLAY_COLUMNS[c] for c in columns} if columns else PLAY_COLUMNS
-    return read_parquet(spark, [f"{folder}/play_by_play_{s}.parquet" for s in seasons], wanted)
+    return read_parquet(spark, [f"{folder}/pbp_{s}.parquet" for s in seasons], wanted)
+
+
+def read_mining_plays(spark: SparkSession, folder: str, seasons: list[int]) -> DataFrame:
+    """The plays of those seasons with the columns that mining reads; an empty table if there are none."""
+    return read_parquet(spark, [f"{folder}/pbp_{s}.parquet" for s in seasons], MINING_COLUMNS)
 
 
 def read_starters(spark: SparkSession, paths: list[str], attempts: int = 10) -> DataFrame:

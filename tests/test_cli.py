@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from priorframe import cli
+from priorframe import cli, predlog
 from priorframe.config import Config
 from tests.test_operators import season
 
@@ -33,7 +33,7 @@ def league(spark, tmp_path_factory):
                     p = int(rng.integers(2))
                     plays.append({"game_id": r["game_id"], "posteam": a, "defteam": b, "play_type": "pass" if p else "run", "epa": float(rng.normal()), "success": float(rng.integers(2)), "pass": float(p), "rush": float(1 - p), "down": 1.0,
                                   "yards_gained": 5.0, "xpass": 0.5, "wp": 0.5, "game_half": "Half1" if i < 5 else "Half2", "total_home_score": float(i), "total_away_score": float(i // 2)})
-        pd.DataFrame(plays).to_parquet(raw / f"play_by_play_{year}.parquet")
+        pd.DataFrame(plays).to_parquet(raw / f"pbp_{year}.parquet")
     settings = {
         "paths": {"raw_cache": str(raw), "feature_cache": str(root / "features"), "artifacts": str(root / "out"), "prediction_log": str(root / "log"), "performance_log": str(root / "perf")},
         "data": {"start_season": 2019, "end_season": 2020}, "features": {"opponent_adjust": {"min_games_required": 10}},
@@ -50,12 +50,27 @@ def test_commands(spark, league, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     assert cli.main(["-c", conf, "build-features"]) == 0
     assert "26 games, 109 columns" in capsys.readouterr().out
-    assert cli.main(["-c", conf, "backtest", "--models", "home_team", "elo", "linear", "--targets", "home_win", "spread"]) == 0
+    assert cli.main(["-c", conf, "backtest", "--models", "home_team,elo,linear", "--targets", "win,spread", "--by-season"]) == 0
     p = spark.read.parquet(str(root / "out/backtest.parquet"))
     assert {r[0] for r in p.select("model").distinct().collect()} == {"home_team", "elo", "linear"} and p.filter("week < 4").count() == 0
-    assert spark.read.csv(str(root / "out/backtest_summary"), header=True).count() == 6
+    summary = spark.read.csv(str(root / "out/backtest_summary"), header=True).toPandas()
+    assert list(zip(summary["target"], summary["model"])) == [(t, m) for t in ("win", "spread") for m in ("home_team", "elo", "linear")]
+    assert "ATS break-even" in capsys.readouterr().out
+    with pytest.raises(KeyError):
+        cli.main(["-c", conf, "backtest", "--models", "nobody"])
+    with pytest.raises(KeyError):
+        cli.main(["-c", conf, "backtest", "--targets", "home_win"])
     assert cli.main(["-c", conf, "audit"]) == 0
+    told = capsys.readouterr().out
+    assert "data vintage      : unknown" in told and "prediction log    : none yet" in told and "completed games   : 24" in told
     assert cli.main(["-c", conf, "train"]) == 0 and "neural_qb" in capsys.readouterr().out
+    from priorframe.models.registry import load
+
+    kept = load(str(root / "out/production_models.pkl"))
+    assert [m.name for m in kept][:6] == ["home_team", "lean", "lean_qb", "elo", "vegas", "linear"] and len(kept) == 14
+    assert cli.main(["-c", conf, "score-recent", "--season", "2020"]) == 0 and "hit_rate" in capsys.readouterr().out
+    assert cli.main(["-c", conf, "scorecard", "--model", "elo", "--since", "2020"]) == 0 and "who wins" in capsys.readouterr().out
+    assert cli.main(["-c", conf, "mine-patterns", "--split", "2020", "--min-n", "5"]) == 0 and "posteam_wins" in capsys.readouterr().out
     monkeypatch.setattr(cli, "eastern_now", lambda: datetime(2020, 10, 20))
     assert cli.main(["-c", conf, "predict-week"]) == 0
     log = spark.read.parquet(str(root / "log"))
@@ -64,7 +79,9 @@ def test_commands(spark, league, capsys, monkeypatch):
     assert spark.read.parquet(str(root / "log")).count() == 28
     # logged long after kickoff: nothing may be scored
     assert cli.main(["-c", conf, "score"]) == 0 and datetime.now() - timedelta(days=1) > datetime(2020, 10, 27)
-    assert spark.read.parquet(spark.read.text(str(root / "perf/current")).first()[0]).count() == 0
+    assert predlog.current(spark, str(root / "perf")).count() == 0
+    capsys.readouterr()
+    assert cli.main(["-c", conf, "audit"]) == 0 and "prediction log    : OK" in capsys.readouterr().out
 
 
 def test_parser():

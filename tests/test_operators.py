@@ -1,5 +1,7 @@
 """Hand-computed fixtures, twins in plain Python, and metamorphic tests."""
 
+import hashlib
+import shutil
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from priorframe import metrics, predlog
 from priorframe.config import Config
 from priorframe.functions import geo, stats
-from priorframe.functions.calendar import kickoff, to_utc
+from priorframe.functions.calendar import age_days, instant, kickoff, stamp, to_utc
+from priorframe.functions.text import general, row_hash
 from priorframe.operators import context, mining, players, ratings, relational, ridge
 from priorframe.operators.temporal import History, asof_join, fold_join, with_games_in_season, with_running_ewma
 from priorframe.plans import features, walkforward, week
@@ -39,6 +42,23 @@ def test_box(spark):
     assert b["A"].off_proe == pytest.approx(((1 - 0.6) + (0 - 0.5) + (1 - 0.8)) / 3)
 
 
+def test_box_of_odd_plays(spark):
+    """Both kinds of turnover in one play count twice; an unknown sack is no sack and no chance of one; an unknown pass is none."""
+    rows = [("g", "A", "B", "pass", 1.0, 1, 1, 0, 1, 1, 1), ("g", "A", "B", "pass", 0.0, 0, 1, 0, None, 0, 0), ("g", "A", "B", "run", 0.0, 0, None, 1, 0, None, 1), ("g", "A", "B", "pass", 0.0, 0, 1, 0, 0, 0, 0)]
+    p = spark.createDataFrame(rows, "game_id string, posteam string, defteam string, play_type string, epa double, success int, pass int, rush int, sack int, interception int, fumble_lost int").withColumn("down", F.lit(3)).withColumn("yards_gained", F.lit(0))
+    b = by_team(relational.game_box(p))
+    a = b["A"]
+    assert a.off_turnover_rate == 0.75 and a.off_sack_rate == 0.5 and a.off_pass_rate == 0.75 and a.off_plays == 4 and a.off_early_epa is None and a.off_proe is None
+    assert a.def_plays is None and a.net_epa is None and b["B"].off_plays is None and b["B"].def_turnover_rate == 0.75
+
+
+def test_uniqueness_is_demanded(spark):
+    df = spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "a int, b int")
+    assert relational.demand_unique(df, ["a", "b"]).count() == 3
+    with pytest.raises(Exception, match="more than one row for \\(a\\) = 1"):
+        relational.demand_unique(df, ["a"]).collect()
+
+
 def test_garbage_time(spark):
     p = plays(spark, (0.5, 0.5, 0.99, 0.5, 0.5, 0.5))
     assert by_team(relational.game_box(p))["A"].off_epa_play == 0.5
@@ -219,8 +239,8 @@ def test_metrics(spark):
 
 def test_log(spark, tmp_path):
     path = str(tmp_path / "log")
-    rows = [("m", f"g{i}", 2020, 1, "2020-09-13T13:00:00", "A", "B", 0.6 + i / 100, 3.0, 44.0) for i in range(3)]
-    p = spark.createDataFrame(rows, "model string, game_id string, season int, week int, kickoff string, home_team string, away_team string, p_home double, pred_spread double, pred_total double")
+    rows = [("m", f"g{i}", 2020, 1, "2020-09-13T13:00:00", "A", "B", 0.6 + i / 100, 3.0, 44.0, 0.55) for i in range(3)]
+    p = spark.createDataFrame(rows, "model string, game_id string, season int, week int, kickoff string, home_team string, away_team string, p_home double, pred_spread double, pred_total double, p_home_h1 double")
     early = F.lit("2020-09-01T00:00:00+00:00").cast("timestamp")
     assert predlog.append(spark, p, path, "v", early) == 3 and predlog.append(spark, p, path, "v", early) == 0
     log = spark.read.parquet(path)
@@ -228,16 +248,62 @@ def test_log(spark, tmp_path):
     edited = log.withColumn("p_home", F.when(F.col("game_id") == "g1", 0.99).otherwise(F.col("p_home")))
     assert predlog.verify(edited).filter("status = 'tampered'").count() == 1
     assert {r.status for r in predlog.verify(log.withColumn("new", F.lit(1))).collect()} == {"ok"}
-    assert {r.status for r in predlog.verify(log.withColumn("hash_fields", F.lit(None).cast("string"))).collect()} == {"unverifiable"}
+    # rows older than the lists of fields: verified against today's fields, or those of them that they have
+    untagged = log.drop("hash_fields")
+    assert {r.status for r in predlog.verify(untagged).collect()} == {"ok"} == {r.status for r in predlog.verify(log.withColumn("hash_fields", F.lit(None).cast("string"))).collect()}
+    assert {r.status for r in predlog.verify(untagged.withColumn("p_home", F.lit(0.9))).collect()} == {"unverifiable"} == {r.status for r in predlog.verify(log.drop("row_hash")).collect()}
+    older = log.withColumn("row_hash", row_hash(predlog.FIELDS, dict(log.dtypes), known_only=True)).drop("hash_fields", "vegas_total", "pred_h1_total")
+    assert {r.status for r in predlog.verify(older).collect()} == {"ok"}
+    assert {r.status for r in predlog.verify(log.drop("p_home")).collect()} == {"unverifiable"}
+    # neither the time of writing nor the vintage can be changed, and half-time predictions are kept
+    for c, v in (("logged_at", "2020-01-01T00:00:00+00:00"), ("vintage", "w")):
+        assert {r.status for r in predlog.verify(log.withColumn(c, F.lit(v))).collect()} == {"tampered"}
+    assert [r.p_home_h1 for r in log.orderBy("game_id").collect()] == [0.55, 0.55, 0.55] and set(predlog.FIELDS) < set(log.columns)
+    r = log.filter("game_id = 'g1'").first().asDict()
+    told = "|".join(f"{f}=" + ("nan" if r[f] is None else f"{r[f]:.10g}" if isinstance(r[f], float) else f"{r[f]}") for f in predlog.FIELDS)
+    assert r["row_hash"] == hashlib.sha256(told.encode()).hexdigest()[:16]
     assert predlog.before_kickoff(log).filter("before_kickoff").count() == 3
     assert predlog.before_kickoff(log.withColumn("logged_at", F.lit("2020-09-13T18:00:00+00:00"))).filter("before_kickoff").count() == 0
     actual = spark.createDataFrame([("g0", 1.0, 7.0, 40.0), ("g1", 0.0, -7.0, 50.0)], "game_id string, home_win double, spread_actual double, total_actual double")
     got = predlog.score(log, actual)
-    assert got.filter("target = 'home_win'").first().n_scored == 2
+    assert got.filter("target = 'win'").first().n_scored == 2
     perf = str(tmp_path / "perf")
     predlog.update_performance(spark, perf, got)
-    predlog.update_performance(spark, perf, got)
+    last = predlog.update_performance(spark, perf, got)
     assert predlog.current(spark, perf).count() == got.count()
+    # a state that isn't whole, as of a job that died, doesn't count
+    shutil.copytree(last, f"{perf}/state-000009-abc", ignore=shutil.ignore_patterns("_SUCCESS", "._SUCCESS*"))
+    assert predlog.current(spark, perf).count() == got.count() and predlog.current(spark, perf).inputFiles()[0].startswith("file://" + last)
+    # two writers at once: the entry that was written first counts
+    twice = log.unionByName(log.withColumn("logged_at", F.lit("2020-09-02T00:00:00+00:00")))
+    assert {r.logged_at for r in predlog.entries(twice).collect()} == {"2020-09-01T00:00:00+00:00"} and predlog.entries(twice).count() == 3
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Kolkata"])
+def test_session_zones(spark, zone):
+    """Clock changes at home and in the session's own zone: wall clocks, instants, stamps and the log's honesty don't move."""
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        walls = {"2024-03-10 01:59:00": "2024-03-10T06:59:00", "2024-03-10 02:30:00": None, "2024-03-10 03:00:00": "2024-03-10T07:00:00", "2024-03-10 05:30:00": "2024-03-10T09:30:00", "2024-11-03 00:59:00": "2024-11-03T04:59:00",
+                 "2024-11-03 01:30:00": None, "2024-11-03 02:00:00": "2024-11-03T07:00:00", "2024-11-03 04:30:00": "2024-11-03T09:30:00", "2024-07-01 13:00:00": "2024-07-01T17:00:00"}
+        t = spark.createDataFrame([(w, u and u + "+00:00") for w, u in walls.items()], "w string, u string")
+        for r in t.select("u", stamp(to_utc(F.col("w").cast("timestamp_ntz"))).alias("got"), stamp(instant(F.col("u"))).alias("again"), stamp(instant(F.substring("u", 1, 19))).alias("bare")).collect():
+            assert r.got == r.u == r.again == r.bare
+        log = t.filter("u is not null").select(F.regexp_replace("w", " ", "T").alias("kickoff"), F.col("u").alias("at"))
+        late = predlog.before_kickoff(log.withColumn("logged_at", F.col("at")))
+        early = predlog.before_kickoff(log.withColumn("logged_at", stamp(F.timestamp_add("SECOND", F.lit(-1), instant(F.col("at"))))))
+        assert not late.filter("before_kickoff").count() and early.filter("before_kickoff").count() == len(walls) - 2
+        k = spark.createDataFrame([("2024-03-10", "02:30")], "d string, t string").select(kickoff(F.col("d"), F.col("t")).cast("string").alias("k"), F.round(age_days(F.lit("2024-03-09 02:30:00").cast("timestamp_ntz"), kickoff(F.col("d"), F.col("t"))), 9).alias("a"))
+        assert tuple(k.first()) == ("2024-03-10 02:30:00", 1.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_general_format(spark):
+    values = [0.0, -0.0, 1.0, 0.1, -2.5, 1 / 3, 1e-4, 9.9999e-5, 1234567890.0, 12345678901.0, 9999999999.6, 1e22, -3.25e-12, 0.61, 44.0, 123456.789012345, float("inf"), float("nan"), None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", general("v").alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == ["nan" if v is None else f"{v:.10g}" for v in values]
 
 
 def test_clock(spark):
@@ -291,6 +357,58 @@ def test_mining_finds_a_planted_cell(spark):
     assert bool(mining.confirm(mining.mine(df, "y", ["a", "b"], 300, 2), df, "y", ["a", "b"], 100, 2).filter("a = 'x' and b = 'p'").first().replicated)
 
 
+# The modelling table's columns.
+COLUMNS = """game_id season week game_type kickoff gameday home_team away_team home_qb_id away_qb_id played
+home_score away_score spread_actual total_actual home_win h1_home_score h1_away_score h1_spread_actual h1_total_actual h1_home_win vegas_spread vegas_total
+ctx_div_game ctx_conference_game ctx_neutral_site ctx_is_indoor ctx_is_retractable_open ctx_is_turf ctx_primetime ctx_is_thursday ctx_is_monday ctx_temp ctx_wind ctx_wind_gt15 ctx_temp_freezing ctx_week
+d_rest_days d_short_week d_long_rest d_off_bye d_travel_miles d_tz_delta d_tz_abs d_travel_load_3g d_west_team_early_east_kick
+d_off_epa_play_ewma d_off_success_rate_ewma d_off_pass_epa_ewma d_off_rush_epa_ewma d_off_early_epa_ewma d_off_explosive_rate_ewma d_off_proe_ewma d_off_sack_rate_ewma d_off_turnover_rate_ewma
+d_def_epa_play_ewma d_def_success_rate_ewma d_def_pass_epa_ewma d_def_rush_epa_ewma d_def_early_epa_ewma d_def_explosive_rate_ewma d_net_epa_ewma d_off_plays_ewma d_def_plays_ewma
+d_off_epa_play_r8 d_def_epa_play_r8 d_net_epa_r8 d_off_success_rate_r8 d_games_this_season d_margin_r5
+d_adj_off_epa_play_off d_adj_off_epa_play_def d_adj_off_epa_play_net d_adj_off_success_rate_net d_qb_epa_ewma d_qb_starts d_qb_is_new d_qb_is_rookie_ish d_qb_epa_delta
+s_off_epa_play_ewma s_def_epa_play_ewma s_off_success_rate_ewma s_off_explosive_rate_ewma s_off_pass_epa_ewma s_off_proe_ewma s_off_plays_ewma s_def_plays_ewma
+s_points_for_ewma s_points_against_ewma s_points_for_r8 s_points_against_r8 s_expected_total s_expected_plays d_expected_margin
+mu_home_epa mu_away_epa mu_net_epa mu_home_pass_epa mu_away_pass_epa mu_net_pass_epa mu_home_rush_epa mu_away_rush_epa mu_net_rush_epa mu_home_success mu_away_success mu_net_success
+elo_diff elo_prob_home elo_spread_home"""
+
+
+def test_running_sums_carry_over_sparse_blocks(spark):
+    """Values far apart, across many blocks, and rows' own values, against the fold over all earlier rows."""
+    rng = np.random.default_rng(2)
+    rows = [(e, t, float(rng.normal()) if (e == "dense" or t % 911 == 5) else None, float(rng.normal())) for e in ("dense", "sparse") for t in range(3000)]
+    df = spark.createDataFrame(rows, "e string, t int, v double, w double")
+    h = History(("e",), ("t",))
+    got = with_running_ewma(df, h, ["v", "w"], 2.0).withColumn("fold", h.ewma("v", 2.0)).withColumn("fold_w", h.ewma("w", 2.0))
+    got = with_running_ewma(got, h, ["v"], 2.0, ["own"], inclusive=True).toPandas().sort_values(["e", "t"])
+    np.testing.assert_allclose(got["v_ewma"], got["fold"], rtol=1e-9)
+    np.testing.assert_allclose(got["w_ewma"], got["fold_w"], rtol=1e-9)
+    want = got.groupby("e")["v"].transform(lambda x: x.ewm(halflife=2.0, ignore_na=True).mean())
+    np.testing.assert_allclose(got["own"], want, rtol=1e-9)
+
+
+def test_failed_folds_are_told(spark):
+    class Broken(Spy):
+        name = "broken"
+
+        def fit(self, train):
+            raise ValueError("no")
+
+    rows = [(f"g{w}_{i}", 2020, w, datetime(2020, 9, 1) + timedelta(days=7 * w, hours=i), "REG", True, 1.0) for w in range(1, 8) for i in range(4)]
+    df = spark.createDataFrame(rows, "game_id string, season int, week int, kickoff timestamp_ntz, game_type string, played boolean, home_win double")
+    got = walkforward.run(df, lambda: [Spy(), Broken()], 2020, 4, min_train=4, errors=True)
+    assert [tuple(r) for r in walkforward.failures(got).collect()] == [("broken", 4, "ValueError: no")] and got.filter("error is null").count() == 16
+    with pytest.raises(KeyError):
+        walkforward.run(df, lambda: [Spy()], 2020, 4, names=["nobody"])
+
+
+def test_tables_to_read(spark):
+    rows = [("win", "elo", 10, 0.61234, None, None), ("spread", "elo", 10, None, 10.5, -3.25), ("win", "lean", 10, 0.7, None, None), ("h1_win", "zz", 4, None, None, None)]
+    df = spark.createDataFrame(rows, "target string, model string, n_games long, accuracy double, mae double, ats_units double")
+    text = metrics.format_table(df, ["lean", "elo"])
+    assert text.index("win:") < text.index("lean") < text.index("elo") < text.index("spread:") < text.index("h1_win: Leading at halftime   [no market benchmark exists]")
+    assert "0.6123" in text and "10.500" in text and "-3.2" in text and text.endswith("0.5238") and metrics.format_table(df.filter("false"), []) == "(no results)"
+
+
 def test_whole_table(spark):
     rows = season(6, 2019) + season(6, 2020)
     g = games(spark, rows)
@@ -311,7 +429,14 @@ def test_whole_table(spark):
     assert t.count() == 12 and len(t.columns) == 109, len(t.columns)
     groups = features.feature_groups(t.columns)
     default = features.select_features(t.columns, ["context", "form", "adjusted", "matchup", "elo", "totals"])
-    assert len(default) == 80 and {k: len(v) for k, v in groups.items()}["lean"] == 6
+    assert set(t.columns) == set(COLUMNS.split()) and len(default) == 80
+    assert groups["lean"] == "elo_diff d_adj_off_epa_play_net d_net_epa_ewma d_rest_days s_expected_total d_margin_r5".split()
+    assert groups["lean_qb"] == [*groups["lean"], "d_qb_epa_ewma", "d_qb_is_new"]
+    prefixed = lambda *p: {c for c in COLUMNS.split() if c.startswith(p)}
+    side = set("d_rest_days d_short_week d_long_rest d_off_bye d_travel_miles d_tz_delta d_tz_abs d_travel_load_3g d_west_team_early_east_kick".split())
+    assert set(groups["context"]) == prefixed("ctx_") | side and set(groups["form"]) == prefixed("d_off_", "d_def_", "d_net_") | {"d_margin_r5", "d_games_this_season"} and "d_off_bye" in groups["form"]
+    assert set(groups["totals"]) == prefixed("s_") and set(groups["matchup"]) == prefixed("mu_") and set(groups["elo"]) == prefixed("elo_") and set(groups["vegas"]) == prefixed("vegas_")
+    assert set(groups["adjusted"]) == prefixed("d_adj_") and set(groups["qb"]) == prefixed("d_qb_") and len(groups) == 10
     with pytest.raises(KeyError):
         features.select_features(t.columns, ["nonsense"])
     whole = t.toPandas().set_index("game_id").sort_index()

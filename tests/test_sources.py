@@ -17,8 +17,8 @@ from priorframe.sources import cache, tables
 
 
 def test_drifting_parquet(spark, tmp_path):
-    spark.createDataFrame([("g", 1.0)], "game_id string, epa double").write.parquet(f"{tmp_path}/play_by_play_2019.parquet")
-    spark.createDataFrame([("h", "2.5", 3)], "game_id string, epa string, extra int").write.parquet(f"{tmp_path}/play_by_play_2020.parquet")
+    spark.createDataFrame([("g", 1.0)], "game_id string, epa double").write.parquet(f"{tmp_path}/pbp_2019.parquet")
+    spark.createDataFrame([("h", "2.5", 3)], "game_id string, epa string, extra int").write.parquet(f"{tmp_path}/pbp_2020.parquet")
     got = tables.read_plays(spark, str(tmp_path), [2018, 2019, 2020], ["game_id", "epa", "wp"]).orderBy("game_id").collect()
     assert [tuple(r) for r in got] == [("g", 1.0, None), ("h", 2.5, None)]
     assert tables.read_plays(spark, str(tmp_path), [1990]).count() == 0
@@ -41,12 +41,12 @@ def test_fetch(tmp_path):
         return {"url": url, "sha256": cache.file_sha256(dest)}
 
     (tmp_path / "kept").write_text("here")
-    urls = {"kept": "u0", "new": "u1", "later": "missing"}
-    m = cache.fetch(tmp_path, urls, frozenset(["later"]), get=get)
-    assert calls == ["u1", "missing"] and set(m.entries) == {"kept", "new"} and len(m.vintage) == 12
+    files = [cache.Source("kept", "u0", "kept"), cache.Source("new", "u1", "new"), cache.Source("later", "missing", "later.parquet", optional=True)]
+    m = cache.fetch(tmp_path, files, get=get)
+    assert calls == ["u1", "missing"] and set(m.entries) == {"kept", "new"} and len(m.vintage) == 12 and m.entries["kept"]["note"]
     assert cache.Manifest(tmp_path / "manifest.json").vintage == m.vintage and list(json.loads((tmp_path / "manifest.json").read_text())) == ["kept", "new"]
     with pytest.raises(OSError):
-        cache.fetch(tmp_path, urls, get=get)
+        cache.fetch(tmp_path, [cache.Source("later", "missing", "later.parquet")], get=get)
     assert cache.Manifest(tmp_path / "none.json").vintage == "unknown"
 
 
@@ -70,8 +70,12 @@ def test_cached(spark, tmp_path):
     for settings, force in (({"a": 1}, False), ({"a": 1}, False), ({"a": 2}, False), ({"a": 2}, True)):
         assert cache.cached(spark, str(tmp_path), "t", "v", settings, build, force).count() == 3
     assert len(built) == 3
-    h = cache.content_hashes(spark, str(tmp_path), "*.parquet")
-    assert h.count() > 0 and len(cache.vintage_of(h).first()[0]) == 12 and cache.vintage_of(h.filter("false")).first()[0] == "unknown"
+    for name in ("games.csv", "pbp_2019.parquet", "pbp_2020.parquet"):
+        (tmp_path / "raw").mkdir(exist_ok=True)
+        (tmp_path / "raw" / name).write_text(name)
+    h = cache.keyed(cache.content_hashes(spark, str(tmp_path / "raw")))
+    m = cache.fetch(tmp_path / "raw", [cache.Source(n.split(".")[0], "u", n) for n in ("pbp_2020.parquet", "games.csv", "pbp_2019.parquet")])
+    assert cache.vintage_of(h).first()[0] == m.vintage and len(m.vintage) == 12 and cache.vintage_of(h.filter("false")).first()[0] == "unknown"
 
 
 def test_stream(spark, tmp_path):
@@ -100,7 +104,7 @@ def frame(n=400, seed=0):
     return df
 
 
-NAMES = ["home_win", "spread", "total"]
+NAMES = ["win", "spread", "total"]
 
 
 def makers():
