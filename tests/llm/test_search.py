@@ -44,12 +44,56 @@ def test_top_k_odd(spark, monkeypatch):
     assert {tuple(r) for r in mtree.top_k(spark, few, 10, 10).collect()} == brute([(r.vec_id, r.embedding) for r in few.collect()], 10, 10)
 
 
+@pytest.mark.parametrize("size", [1e6, 1e9])
+def test_top_k_of_large_components(spark, monkeypatch, size):
+    """Beyond 32 bits, and products beyond 64 bits: ranks are exact, scores are held at the ends of the range."""
+    monkeypatch.setattr(mtree, "PAGE_ROWS", 40)
+    rng = random.Random(8)
+    rows = [(i, [float(np.float32(rng.gauss(0, size))) for _ in range(6)]) for i in range(200)] + [(900, [3e38, -3e38, 0.0, 0.0, 0.0, 0.0])] * (size > 1e8)
+    got = {tuple(r) for r in mtree.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10, 10).collect()}
+    held = [(i, [max(-(2**55), min(2**55, math.floor(c * 1024))) for c in v]) for i, v in rows]
+    want = set()
+    for q, v in held:
+        if q % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in held if i != q)[:10]
+            want |= {(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)}
+    assert got == want
+
+
+def test_shards_that_cannot_help_are_not_visited(spark, monkeypatch):
+    """Clustered vectors: a query is sent to a small part of the shards."""
+    monkeypatch.setattr(mtree, "PAGE_ROWS", 50)
+    share = []
+    for n in (20, 60):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(0, 1, (n, 8))
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+        v = (centres[:, None] + rng.normal(0, 0.002, (n, 60, 8))).reshape(-1, 8)
+        order = rng.permutation(len(v))
+        df = spark.createDataFrame([(i, v[j].tolist()) for i, j in enumerate(order.tolist())], "vec_id long, embedding array<double>")
+        kept = {}
+        keep = mtree.Workspace.keep
+        monkeypatch.setattr(mtree.Workspace, "keep", lambda self, d, step, kept=kept: kept.setdefault(step, keep(self, d, step)) if step != "met" else keep(self, d, step))
+        got = {tuple(r) for r in mtree.top_k(spark, df, 10, 50).collect()}
+        monkeypatch.setattr(mtree.Workspace, "keep", keep)
+        assert got == brute([(i, v[j].tolist()) for i, j in enumerate(order.tolist())], 10, 50)
+        shards = kept["pages"].filter("page = 0").count()
+        share.append(kept["sent"].count() / kept["asked"].count() / shards)
+    assert max(share) < 0.15
+
+
+def test_top_k_repeated_queries(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.0])]
+    got = sorted(tuple(r) for r in mtree.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10, 100).collect())
+    assert [r[:2] for r in got] == [(0, 1), (0, 2), (0, 3)] and [r[2] for r in got][:2] == [1, 1]
+
+
 def test_tree_skips_products():
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(c, 5, (500, 8)) for c in rng.normal(0, 900, (8, 8))]).astype(np.int64)
     m = float((v**2).sum(1).max())
     tree = mtree.Tree(np.arange(len(v)), v, np.sqrt(m - (v**2).sum(1)))
-    pages = {x["page"]: x | {"ids": np.array(x["ids"], np.int64), "to_centre": np.array(x["to_centre"]), "centre": np.array(x["centre"]), "vectors": np.frombuffer(x["vectors"], np.int32).reshape(-1, 8).astype(np.int64)} for x in tree.pages()}
+    pages = {x["page"]: x | {"ids": np.array(x["ids"], np.int64), "to_centre": np.array(x["to_centre"]), "centre": np.array(x["centre"]), "vectors": np.frombuffer(x["vectors"], np.int64).reshape(-1, 8)} for x in tree.pages()}
     top, computed = mtree.best_first(pages, v[0], 0.0, 0, 10, m)
     want = sorted((-int(v[0] @ w), i) for i, w in enumerate(v) if i)[:10]
     assert sorted((-s, -i) for s, i in top) == want and computed < len(v) / 2
