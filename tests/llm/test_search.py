@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from priorframe.llm import decontaminate, mtree, quality
 
@@ -164,13 +165,77 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(spark, docs, items.filter("false")).count() == 0 and decontaminate.find_leaks(spark, docs.filter("false"), items).count() == 0
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
+def folded(text):
+    return "".join(c.lower() if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in text or "").split()
+
+
+def greedy(p, t, least):
+    """Lengths of the longest unmarked common runs, marked one after another."""
+    fp, ft, out = [True] * len(p), [True] * len(t), []
+    for k in range(min(len(p), len(t)), least - 1, -1):
+        at = {}
+        for j in range(len(t) - k + 1):
+            at.setdefault(tuple(t[j : j + k]), []).append(j)
+        for i in range(len(p) - k + 1):
+            for j in at.get(tuple(p[i : i + k]), ()):
+                if all(fp[i : i + k]) and all(ft[j : j + k]):
+                    fp[i : i + k], ft[j : j + k] = [False] * k, [False] * k
+                    out.append(k)
+    return out
+
+
+def brute_leaks(docs, items, cover=0.5):
+    """(doc_id, item_id, coverage, tiles) of all pairs of rows, those without a common run of five words (or of the whole item) left out at once."""
+    out = []
+    texts = [(i, folded(x)) for i, x in items if x is not None]
+    sets = [(i, p, min(5, len(p)), {tuple(p[a : a + min(5, len(p))]) for a in range(len(p) - min(5, len(p)) + 1)}) for i, p in texts if p]
+    for d, x in docs:
+        t = folded(x)
+        grams = {k: {tuple(t[a : a + k]) for a in range(len(t) - k + 1)} for k in {s[2] for s in sets}}
+        for i, p, least, seeds in sets:
+            if seeds & grams[least]:
+                got = greedy(p, t, least)
+                if sum(got) >= cover * len(p):
+                    out.append((d, i, round(sum(got) / len(p), 9), len(got)))
+    return sorted(out, key=str)
+
+
+def told_leaks(spark, docs, items):
+    return sorted(((r.doc_id, r.item_id, round(r.coverage, 9), r.n_tiles) for r in decontaminate.find_leaks(spark, docs, items).collect()), key=str)
+
+
+def test_leaks_against_all_pairs(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    whole = {tuple(r) for r in decontaminate.find_leaks(spark, docs, items).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
-    assert {tuple(r) for r in decontaminate.find_leaks(spark, docs, items).collect()} == whole
-    folded = lambda t: " ".join("".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in t).split())
-    texts = {r.item_id: f" {folded(r.text)} " for r in items.collect()}
-    for r in docs.collect():
-        t = f" {folded(r.text)} "
-        assert all((r.doc_id, i) in {x[:2] for x in whole} for i, x in texts.items() if x in t)
+    want = brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert want and told_leaks(spark, docs, items) == want
+
+
+@pytest.mark.parametrize("bits", [27, 16])
+def test_leaks_of_mixed_up_items(spark, monkeypatch, bits):
+    """Cut, moved and changed items of a small vocabulary, so runs repeat; string and int ids; with a table so full that most runs may be seeds."""
+    if bits == 16:
+        monkeypatch.setattr(decontaminate, "BITS_LEAST", 6)
+        monkeypatch.setattr(decontaminate, "BITS_MOST", 10)
+    rng = random.Random(bits)
+    items = [(f"i{n}", " ".join(f"v{rng.randrange(12)}" for _ in range(rng.randrange(1, 40)))) for n in range(25)] + [("i0", "again the same")] * 2 + [(None, "v1 v2 v3"), ("x", "word " * 30)]
+    docs = []
+    for n in range(120):
+        w = [f"v{rng.randrange(12)}" for _ in range(rng.randrange(60))]
+        p = items[rng.randrange(25)][1].split()
+        cut = rng.randrange(len(p) + 1)
+        docs.append((n % 100 if n % 7 else None, " ".join(w + p[cut:] + (["zz"] if n % 3 else []) + p[:cut] + w[: n % 11])))
+    docs += [(500, "word " * 200), (501, "again, THE same"), (502, None), (503, "")]
+    d, i = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, text string")
+    want = brute_leaks(docs, items)
+    assert told_leaks(spark, d, i) == want and len(want) > 40
+    bad = {x for x, _, _, _ in want}
+    texts = {t for (n, t) in docs if (n in bad and any(t == u and n == m for m, u in docs))}
+    kept = decontaminate.clean(spark, d.withColumn("item", F.lit(1)).withColumn("doc", F.lit("x")), i).collect()
+    whole = {t for t, in {(t,) for n, t in docs if brute_leaks([(n, t)], items)}}
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(n), str(t)) for n, t in docs if t not in whole) and texts >= whole
+
+
+def test_leaks_of_int_items(spark):
+    docs = spark.createDataFrame([("a", "one two three four five six")], "doc_id string, text string")
+    items = spark.createDataFrame([(3, "one two three four five six")], "item_id int, text string")
+    assert [tuple(r) for r in decontaminate.find_leaks(spark, docs, items).collect()] == [("a", 3, 1.0, 1)]
