@@ -7,14 +7,16 @@ truncated SVD and the labelled vectors; these are broadcast. Every document's
 vector is compared with all labelled vectors by exact cosine products, block
 by block, and its ``NEIGHBOURS`` nearest vote with their similarity.
 
-The sample is the one bound: ``SAMPLE`` labelled rows of each class, the first
-by a hash of their id. Only they are gathered, so the model has the same size
-at every scale.
+The sample is the one bound: of each class ``SAMPLE`` labelled ids that have a
+document, the first by a hash of the id, with one text each. Only they are
+gathered, so the model has the same size at every scale.
 
 Defined cases: a null text is the empty text; a text without words scores the
 share of label 1 in the sample's population, as does any text if there are no
-labels; equal texts score alike; null labels are left out; of several labels of
-one id the lowest counts; equal neighbours beyond the last place are taken in
+labels; equal texts score alike, as products are made in blocks of one shape;
+null labels are left out, as are those without a document; of several labels of
+one id the lowest counts, of several texts the one with the least hash; a
+column score of the documents is replaced; equal neighbours beyond the last place are taken in
 sample order; an empty table gives an empty result; further columns pass
 through.
 """
@@ -120,7 +122,9 @@ class Model:
         some = np.flatnonzero(table.any(1)) if not self.empty else []
         if not len(some):
             return out
-        near = unit(self.weigh(table[some]) @ self.project) @ self.vectors.T
+        block = np.zeros((max(ROWS, len(some)), WIDTH), np.float32)  # one shape, so that equal rows give equal products
+        block[: len(some)] = table[some]
+        near = (unit(self.weigh(block) @ self.project) @ self.vectors.T)[: len(some)]
         k = min(NEIGHBOURS, near.shape[1])
         order = np.argsort(-near, axis=1, kind="stable")[:, :k]
         like = np.maximum(np.take_along_axis(near, order, 1), 0).astype(np.float64) ** POWER * self.votes[order]
@@ -143,19 +147,21 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     small_batches(spark)
     ws = Workspace(spark, "quality")
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 2))
-    known = ws.keep(known.groupBy("doc_id").agg(F.min(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("quality")), "labels")
+    known = known.groupBy("doc_id").agg(F.min(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("quality"))
+    known = ws.keep(known.join(docs.select("doc_id").filter(fold(F.col("doc_id")) != 2), "doc_id", "left_semi"), "labels")
     share = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     order = [F.xxhash64(F.col("doc_id")), F.col("doc_id")]
     picked = known.filter("quality = 0").orderBy(*order).limit(SAMPLE).unionByName(known.filter("quality = 1").orderBy(*order).limit(SAMPLE))
     picked = ws.keep(picked.withColumnRenamed("doc_id", "_id"), "sample")
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # 2 SAMPLE ids at most
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).getField("text").alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [zlib.compress(np.minimum(r, 65535).astype(np.uint16).tobytes(), 1) for _, t in counts(b.column("text")) for r in t]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "terms"])
 
-    rows = sorted(texts.mapInArrow(pack, "doc_id string, quality int, terms binary").collect(), key=lambda r: (r[0], r[2]))[: 4 * SAMPLE]
+    rows = sorted(texts.mapInArrow(pack, "doc_id string, quality int, terms binary").collect(), key=lambda r: r[0])
     table = np.array([np.frombuffer(zlib.decompress(r[2]), np.uint16) for r in rows], np.float32).reshape(-1, WIDTH)
     total = sum(share.values())
     return Model(table, np.array([r[1] for r in rows]), share.get(1, 0) / total if total else 1.0)
@@ -165,6 +171,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, least: float | No
     """docs with a column score; only rows of at least that score if one is given, then without the column."""
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
+    docs = docs if least is not None else docs.drop("score")
     schema = docs.schema if least is not None else docs.withColumn("score", F.lit(0.0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
