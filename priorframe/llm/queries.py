@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorframe.llm import chat, decontaminate, mixing, mtree, neardup, oracles, quality, secrets, sharding, substrings, urlfilter
+from priorframe.llm.store import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,13 @@ def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(spark, table(spark, sf_dir, "documents"))
+    """Two scans through a ledger: of the documents that an earlier state held, then of all; the second scans only what the first hasn't."""
+    docs = table(spark, sf_dir, "documents")
+    ws = Workspace(spark, "ledger")
+    ledger = f"{ws.base}/ledger"
+    secrets.empty_ledger(spark, ledger)
+    secrets.update(spark, docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0).select(F.col("doc_id").alias("path"), "text"), ledger, ws)
+    return secrets.scan_documents(spark, docs, ledger)
 
 
 def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,12 +71,18 @@ def scan(blobs: DataFrame) -> DataFrame:
     return found.select("blob", F.array_sort(F.concat(*each)).alias("spans"))
 
 
+def empty_ledger(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([], f"blob binary, rules string, spans {SPAN}").coalesce(1).write.mode("ignore").parquet(path)
+
+
 def update(spark: SparkSession, versions: DataFrame, ledger: str | None, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Bring a ledger up to date with versions (path, text).
 
     ledger: a Parquet folder in shared storage, partitioned by nothing and only
-    appended to, or None for a first scan. Returns (path, blob) of every
-    version and the ledger's rows (blob, spans) under the current rules.
+    appended to (empty_ledger starts one), or None for a scan without. Scans at
+    the same time may both append a blob; its spans are the same, and it counts
+    once. Returns (path, blob) of every version and the ledger's rows (blob,
+    spans) under the current rules.
     """
     whole = versions.select("path", F.coalesce("text", F.lit("")).alias("text"))
     whole = whole.withColumn("blob", F.unhex(F.sha2("text", 256)))
@@ -84,7 +90,7 @@ def update(spark: SparkSession, versions: DataFrame, ledger: str | None, ws: Wor
     unseen = paths.groupBy("blob").agg(F.min("path").alias("rep"))
     known = None
     if ledger is not None:
-        known = spark.read.parquet(ledger).filter(F.col("rules") == RULE_VERSION).select("blob", "spans")
+        known = spark.read.parquet(ledger).filter(F.col("rules") == RULE_VERSION).groupBy("blob").agg(F.first("spans").alias("spans"))
         unseen = unseen.join(known.select("blob"), "blob", "left_anti")
     unseen = ws.keep(unseen, "unseen")
     one = unseen.withColumnRenamed("blob", "_blob").hint("shuffle_hash")  # grows with the versions: never broadcast
