@@ -8,7 +8,9 @@ source's documents in seeded order; its words form a line cut into blocks. A
 lane that gets more blocks than it has takes each block once or twice and the
 rest from a seeded block on, around the line. What a document gives is the
 overlap of its stretch of the line with the blocks taken, so no block is ever
-materialised.
+materialised. No lane takes a block more than twice; seats that a lane can't
+use go to the lanes of the source that have room. A lane of very many words is
+laid out in stretches, ranges of its order, so no task holds a whole lane.
 
 The quotients ranked are only those that can decide: with n claimants a
 claimant's seats differ from its share by less than its part of n/2, plus one
@@ -35,6 +37,8 @@ LARGEST_BLOCK = 2048
 #: Words of a lane, and the most lanes of a source before lanes grow.
 LANE_WORDS = 1 << 16
 LANES = 1024
+#: Words of a stretch of a lane that is laid out by one task.
+STRETCH_WORDS = 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -110,8 +114,15 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 17, carry: bool = Fals
     lane_sizes = laned.groupBy("place", "lane").agg(F.sum("size").alias("lane_words"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
     quotas = sainte_lague(lane_sizes, ["place"], "lane", "lane_words", "source_quota")
     blocks = F.ceil(F.col("lane_words") / F.col("block")).cast("long")
+    # seats beyond twice a lane's blocks go to lanes with room, the roomiest first
+    source = Window.partitionBy("place")
+    quotas = quotas.withColumn("blocks", blocks).withColumn("_room", F.greatest(F.lit(0).cast("long"), 2 * F.col("blocks") - F.col("quota")))
+    quotas = quotas.withColumn("_spare", F.sum(F.greatest(F.lit(0).cast("long"), F.col("quota") - 2 * F.col("blocks"))).over(source))
+    filled = F.sum("_room").over(source.orderBy(F.desc("_room"), "lane").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_room")
+    gained = F.greatest(F.lit(0).cast("long"), F.least(F.col("_room"), F.col("_spare") - filled))
+    quotas = quotas.withColumn("quota", F.least(F.col("quota"), 2 * F.col("blocks")) + gained)
     quotas = (
-        quotas.withColumn("blocks", blocks).withColumn("quota", F.least("quota", 2 * F.col("blocks")))
+        quotas
         .withColumn("copies", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("extra", F.col("quota") - F.col("copies") * F.col("blocks"))
         .withColumn("first", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "place", "lane"), F.col("blocks"))).otherwise(F.lit(0)).cast("long"))
@@ -121,8 +132,18 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 17, carry: bool = Fals
         .withColumn("around", F.col("around") * F.col("block")).drop("block")
     )
     quotas = ws.keep(quotas, "quotas")
-    line = Window.partitionBy("place", "lane").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = laned.withColumn("_to", F.sum("size").over(line)).withColumn("_from", F.col("_to") - F.col("size"))
+    # lanes of many words are laid out in ranges of their order, which start where the ranges before them end
+    ranges = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("words") / F.col("lanes") / STRETCH_WORDS))
+    at = F.shiftright("_h", 32) + F.lit(1 << 31)  # 0 to 2^32 - 1, in the order of _h
+    laned = laned.withColumn("_range", F.shiftright(at * ranges, 32).cast("int"))
+    line = Window.partitionBy("place", "lane", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = laned.withColumn("_to", F.sum("size").over(line))
+    if sources.filter(ranges > 1).limit(1).count():
+        sums = laned.groupBy("place", "lane", "_range").agg(F.sum("size").alias("_words"))
+        before = F.sum("_words").over(Window.partitionBy("place", "lane").orderBy("_range")) - F.col("_words")
+        starts = ws.keep(sums.select("place", "lane", "_range", before.alias("_before")), "starts")
+        placed = placed.join(ws.sized(starts), ["place", "lane", "_range"]).withColumn("_to", F.col("_to") + F.col("_before"))
+    placed = placed.withColumn("_from", F.col("_to") - F.col("size"))
     placed = placed.join(ws.sized(quotas), ["place", "lane"])
 
     def overlap(lo: Column, hi: Column) -> Column:
