@@ -27,7 +27,7 @@ twelve equal words beside a collision.
 
 Defined cases: a null text has no words; rows with a null id count as later
 than all others and don't repeat each other; rows that repeat an id aren't
-earlier than each other; a text of fewer words than a window is kept whole; an
+earlier than each other; ids are whole numbers, others raise a TypeError; a text of fewer words than a window is kept whole; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -234,6 +234,8 @@ def info_of(info: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, dict]:
 def dedup(spark: SparkSession, docs: DataFrame, texts: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with texts kept, the kept words joined by one space."""
     small_batches(spark)
+    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("ids are compared as whole numbers; doc_id is " + docs.schema["doc_id"].dataType.simpleString())
     ws, with_texts = Workspace(spark, "substrings"), texts
     text = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), F.xxhash64("text").alias("mark"), "text")
 
@@ -250,6 +252,7 @@ def dedup(spark: SparkSession, docs: DataFrame, texts: bool = True) -> DataFrame
     total = base.agg(F.sum("n")).collect()[0][0] or 0
     groups = max(1, math.ceil(total / GROUP_WORDS))
     buckets = max(1, math.ceil(total / 5 / BUCKET))
+    # rows without an id are dealt by a hash of their text alone, as others by id and text
     grp = F.pmod(F.xxhash64("id", "mark"), F.lit(groups)).cast("int").alias("grp")
     # written, so that the join has its own exchange: Spark splits the partition of a very common text
     first = ws.keep(base.groupBy("digest").agg(F.min("id").alias("first")), "first")
@@ -276,8 +279,8 @@ def dedup(spark: SparkSession, docs: DataFrame, texts: bool = True) -> DataFrame
         to = v % U(buckets)  # minimisers are small numbers: ranges of them would be uneven
         order = np.argsort(to, kind="stable")
         v, n, to = v[order], n[order], to[order]
-        ends = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-        out = [(b, key[0].as_py(), pack6(v[lo:hi]), np.minimum(n[lo:hi], 255).astype(np.uint8).tobytes()) for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])) if hi > lo]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])  # only buckets that occur
+        out = [(int(to[lo]), key[0].as_py(), pack6(v[lo:hi]), np.minimum(n[lo:hi], 255).astype(np.uint8).tobytes()) for lo, hi in zip(cuts[:-1], cuts[1:])]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), BUCKET_SCHEMA)], schema=BUCKET_SCHEMA)
 
     told = seen.groupBy("grp").cogroup(status.groupBy("grp")).applyInArrow(report, "bucket int, grp int, least binary, many binary")
