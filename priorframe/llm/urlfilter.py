@@ -23,18 +23,22 @@ from pyspark.sql import functions as F
 from priorframe.llm.store import Workspace
 
 
+START = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+
+
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    """The host in lower case, without user, port and a last dot; an address in brackets is a host; the scheme may be missing, not the slashes."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, START + r"(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)", 1)), r"\.$", "")
 
 
 def segment(url: Column) -> Column:
     """The first path segment, without its slashes."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)", 1)
+    return F.regexp_extract(url, START + r"[^/?#]+/([^/?#]*)", 1)
 
 
 def path(url: Column) -> Column:
     """The path, without its first slash."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
+    return F.regexp_extract(url, START + r"[^/?#]+/([^?#]*)", 1)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
