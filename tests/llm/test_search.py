@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,39 @@ def test_quality_held_out(spark):
     assert sum(x >= 0.7 for x in ones) / len(ones) > 0.97 and sum(x < 0.7 for x in zeros) / len(zeros) > 0.8
 
 
+def test_votes_against_brute_force(spark):
+    """Scores of the query's own model against cosines and votes one by one, in double precision."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(spark, docs, labels)
+    rows = docs.limit(150).collect()
+    got = {r.doc_id: r.score for r in quality.scored(spark, docs.select("doc_id", "text"), model).filter(F.col("doc_id").isin([r.doc_id for r in rows])).collect()}
+    labelled, project, off = model.vectors.astype(float), model.project.astype(float), 0
+    for r in rows:
+        (_, table), = quality.counts(pa.array([r.text or ""]))
+        x = np.log1p(table[0].astype(float)) * model.weights
+        parts = [x[a:b] for a, b in ((0, quality.TERMS), (quality.TERMS, quality.TERMS + quality.SHAPES), (quality.TERMS + quality.SHAPES, quality.WIDTH))]
+        v = np.concatenate([p / (np.sqrt((p * p).sum()) or 1) for p in parts]) @ project
+        cosines = [float(v @ w) / (float(np.sqrt(v @ v)) or 1) for w in labelled]
+        best = sorted(range(len(cosines)), key=lambda n: (-cosines[n], n))[: quality.NEIGHBOURS]
+        like = [max(0.0, cosines[n]) ** quality.POWER * float(model.votes[n]) for n in best]
+        want = sum(w for w, n in zip(like, best) if model.labels[n]) / sum(like) if table.any() and sum(like) else model.prior
+        off += abs(got[r.doc_id] - want) > 1e-3
+    assert off <= 1  # a tie for the last place may fall otherwise in single precision
+
+
+def test_quality_sample(spark):
+    """Labels without a document don't use up the sample; of an id's texts one is learnt; equal texts score alike wherever they stand; a column score is replaced."""
+    good, bad = [f"fine words number {i} of a calm text" for i in range(40)], [f"$$$ {i} !!! buy @@@" for i in range(40)]
+    rows = [(i, t, 0.5) for i, t in enumerate(good + bad)] + [(0, "another text of the same id", 0.5)] * 50 + [(1000 + i, good[7], 0.1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(5000 + i, 0) for i in range(5000)], "doc_id long, quality int")
+    model = quality.fit(spark, docs, labels)
+    held = sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(80))
+    assert len(model.labels) == 80 - held and 0.3 < model.prior < 0.7
+    got = quality.scored(spark, docs, model)
+    assert got.columns == ["doc_id", "text", "score"] and len({r.score for r in got.filter(F.col("text") == good[7]).collect()}) == 1
+
+
 def test_quality_odd(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (3, " ", 0.2), (None, "fine words", 0.3), (4, "x" * 300000, 0.1), (4, "x" * 300000, 0.1)], "doc_id long, text string, score double").drop("score")
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (4, 0), (4, 1)], "doc_id long, quality int")

@@ -2,6 +2,8 @@
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from priorframe.llm import urlfilter
 
 
@@ -12,3 +14,9 @@ def test_deeper_paths(spark):
     caps = spark.createDataFrame([(i, u, date(2024, 2, 1)) for i, u in enumerate(want)], "page_id long, url string, fetched_at date")
     got = {r.url: r.rule for r in urlfilter.evaluate(spark, caps, entries).collect()}
     assert got == want
+
+
+def test_hosts(spark):
+    urls = {"http://[::1]/a": ("[::1]", "a"), "//Host.com/p/q": ("host.com", "p"), "https://u:p@Host.com.:80/x": ("host.com", "x"), "http://host": ("host", ""), "host/p": ("", ""), "http:///p": ("", ""), "http://[::1]:8080": ("[::1]", "")}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", urlfilter.host(F.col("u")), urlfilter.segment(F.col("u"))).collect()
+    assert {r[0]: (r[1], r[2] if r[1] else "") for r in rows} == urls
