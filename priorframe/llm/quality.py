@@ -85,16 +85,16 @@ def counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Model:
-    """Term weights, projection and labelled vectors."""
+    """Term weights, projection and labelled vectors. The table is used up: the sample's counts are held once."""
 
     def __init__(self, table: np.ndarray, labels: np.ndarray, prior: float):
         self.prior = float(prior)
         self.empty = not len(labels)
         if self.empty:
             return
-        seen = (table > 0).sum(0)
+        seen = np.count_nonzero(table, axis=0)
         self.weights = np.log((1 + len(table)) / (1 + seen)).astype(np.float32) + 1
-        x = self.weigh(table)
+        x = self.weigh(table, own=True)
         rank = min(RANK, *x.shape)
         rng = np.random.default_rng(7)
         q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], rank + 16), dtype=np.float32))[0]
@@ -110,11 +110,14 @@ class Model:
         self.votes = np.where(self.labels > 0, self.prior / ones, (1 - self.prior) / zeros).astype(np.float32)
         self.votes /= self.votes.mean()
 
-    def weigh(self, table: np.ndarray) -> np.ndarray:
-        """Damped counts, weighted; words, shapes and repetition each of length one."""
-        x = np.log1p(table) * self.weights
+    def weigh(self, table: np.ndarray, own: bool = False) -> np.ndarray:
+        """Damped counts, weighted; words, shapes and repetition each of length one. In place if the table is its own."""
+        x = np.log1p(table, out=table if own else None)
+        x *= self.weights
         for lo, hi in ((0, TERMS), (TERMS, TERMS + SHAPES), (TERMS + SHAPES, WIDTH)):
-            x[:, lo:hi] = unit(x[:, lo:hi])
+            part = x[:, lo:hi]
+            n = np.sqrt(np.einsum("ij,ij->i", part, part))[:, None]
+            part /= np.where(n > 0, n, 1)
         return x
 
     def score(self, table: np.ndarray) -> np.ndarray:
@@ -162,7 +165,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "terms"])
 
     rows = sorted(texts.mapInArrow(pack, "doc_id string, quality int, terms binary").collect(), key=lambda r: r[0])
-    table = np.array([np.frombuffer(zlib.decompress(r[2]), np.uint16) for r in rows], np.float32).reshape(-1, WIDTH)
+    table = np.empty((len(rows), WIDTH), np.float32)
+    for n, r in enumerate(rows):
+        table[n] = np.frombuffer(zlib.decompress(r[2]), np.uint16)
     total = sum(share.values())
     return Model(table, np.array([r[1] for r in rows]), share.get(1, 0) / total if total else 1.0)
 
