@@ -397,6 +397,8 @@ def test_failed_folds_are_told(spark):
     df = spark.createDataFrame(rows, "game_id string, season int, week int, kickoff timestamp_ntz, game_type string, played boolean, home_win double")
     got = walkforward.run(df, lambda: [Spy(), Broken()], 2020, 4, min_train=4, errors=True)
     assert [tuple(r) for r in walkforward.failures(got).collect()] == [("broken", 4, "ValueError: no")] and got.filter("error is null").count() == 16
+    fine = walkforward.run(df, lambda: [Spy()], 2020, 4, min_train=4, errors=True)
+    assert fine.count() == 16 and walkforward.failures(fine).count() == 0 and fine.columns[-1] == "error"
     with pytest.raises(KeyError):
         walkforward.run(df, lambda: [Spy()], 2020, 4, names=["nobody"])
 
