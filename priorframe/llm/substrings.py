@@ -13,11 +13,11 @@ many texts share a minimiser, its windows go one by one, by their own hash, so
 no passage makes a shard large.
 
 A shard sorts its stretches' suffixes, to more words than a window has, and
-keeps their Burrows-Wheeler transform as a wavelet matrix of packed bits. All
-windows of the shard's stretches are streamed through backward search at once;
-a window's search stops when nothing but itself matches, and those that match
-over the whole window report an interval, whose least id is the first document
-that has the window.
+keeps their Burrows-Wheeler transform as a wavelet matrix of packed bits. The
+stretches are streamed through backward search, which gives matching statistics:
+for the last word of each window the length of the longest run up to it that
+occurs elsewhere, counted up to a window's words. Those that reach the window
+report its interval, whose least id is the first document that has the window.
 
 Equal word sequences are found first by their SHA-256; only the one with the
 least id is searched, and of the others all windows repeat.
@@ -74,10 +74,9 @@ class FMIndex:
                 ahead[: n - have] = rank[have:] + 1
             rank = np.unique(rank * (n + sigma + 2) + ahead, return_inverse=True)[1]
             have *= 2
-            if have == 8:
-                self.eights = rank  # equal where eight symbols are equal
-        self.places = np.argsort(rank, kind="stable")
+        self.places = np.argsort(rank, kind="stable").astype(np.int32 if n < 2**31 else np.int64)
         last = symbols[self.places - 1]
+        self.size, self.sigma = n, sigma
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])
         self.levels = max(1, int(sigma - 1).bit_length())
         self.bits, self.sums, self.zeros = [], [], []
@@ -105,6 +104,24 @@ class FMIndex:
         base = self.first[symbol] - self.start[symbol]
         return base + both[: len(lo)], base + both[len(lo) :]
 
+    def matching(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+        """Matching statistics of a text of the index, up to `most` symbols, which each end has behind it.
+
+        (length, who, group, lo, hi): length is that of the longest run up to each end that occurs elsewhere, too; the
+        ends `who` reach `most`, and lo[group], hi[group] are the intervals of their runs. Ends whose runs so far are
+        equal stand in one interval, so each interval is extended by each symbol once.
+        """
+        length, who, group = np.zeros(len(ends), np.int64), np.arange(len(ends)), np.zeros(len(ends), np.int64)
+        lo, hi = np.zeros(1, np.int64), np.full(1, self.size)
+        for k in range(most):
+            key, group = np.unique(group * self.sigma + text[ends[who] - k], return_inverse=True)
+            lo, hi = self.step(key % self.sigma, lo[key // self.sigma], hi[key // self.sigma])
+            more = hi - lo > 1
+            stay = more[group]
+            who, group, lo, hi = who[stay], (np.cumsum(more) - 1)[group[stay]], lo[more], hi[more]
+            length[who] = k + 1
+        return length, who, group, lo, hi
+
 
 def first_ids(stretches: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     """For each window of each stretch (words of BYTES bytes), the least id of a stretch that has it."""
@@ -123,23 +140,16 @@ def first_ids(stretches: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
 
     many = np.maximum(0, lengths - WINDOW + 1)
     window = np.repeat(start, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    # equal windows are one pattern: two overlapping runs of eight words tell them apart
-    pattern, back = np.unique(index.eights[window] * len(text) + index.eights[window + WINDOW - 8], return_inverse=True)
-    place = np.zeros(len(pattern), np.int64)
-    place[back] = window
-    least = owner[place].copy()
-    who = np.arange(len(pattern))
-    lo, hi = index.first[text[place + WINDOW - 1]], index.first[text[place + WINDOW - 1] + 1]
-    for k in reversed(range(WINDOW - 1)):
-        go = hi - lo > 1
-        who, lo, hi = who[go], lo[go], hi[go]
-        lo, hi = index.step(text[place[who] + k], lo, hi)
+    least = owner[window]
+    _, who, group, lo, hi = index.matching(text, window + WINDOW - 1, WINDOW)
     if len(who):
-        order = np.argsort(lo)  # whole patterns: their intervals are apart
+        order = np.argsort(lo)  # runs of one length: their intervals are apart
         cuts = np.stack([lo[order], hi[order]], axis=1).ravel()
         held = np.append(owner[index.places], LAST)
-        least[who[order]] = np.minimum.reduceat(held, cuts)[::2]
-    return np.split(least[back], np.cumsum(many)[:-1])
+        first = np.empty(len(lo), np.int64)
+        first[order] = np.minimum.reduceat(held, cuts)[::2]
+        least[who] = first[group]
+    return np.split(least, np.cumsum(many)[:-1])
 
 
 def minimisers(h: np.ndarray) -> np.ndarray:

@@ -72,6 +72,26 @@ def test_fm_index_counts():
         assert sorted(index.places[lo[0] : hi[0]].tolist()) == want
 
 
+@pytest.mark.parametrize("letters", [2, 4, 40])
+def test_matching_statistics(letters):
+    rng = np.random.default_rng(letters)
+    text = np.append(rng.integers(1, letters + 1, 400), 0)
+    text[100:130] = text[300:330]
+    index = substrings.FMIndex(text, letters + 1)
+    ends = rng.permutation(np.arange(12, 400))
+    length, who, group, lo, hi = index.matching(text, ends, 13)
+
+    def places(run):
+        return [i for i in range(len(text) - len(run) + 1) if (text[i : i + len(run)] == run).all()]
+
+    for e, n in zip(ends.tolist(), length.tolist()):
+        assert n == max([k for k in range(1, 14) if len(places(text[e - k + 1 : e + 1])) > 1], default=0)
+    assert sorted(who.tolist()) == np.flatnonzero(length == 13).tolist()
+    for w, g in zip(who.tolist(), group.tolist()):
+        assert sorted(index.places[lo[g] : hi[g]].tolist()) == places(text[ends[w] - 12 : ends[w] + 1])
+    assert [len(x) for x in index.matching(text, ends[:0], 13)[:3]] == [0, 0, 0]
+
+
 def test_kept_words(spark):
     w = [f"w{i}" for i in range(20)]
     docs = spark.createDataFrame([(1, " ".join(w)), (2, "new\n" + "  ".join(w[:14]) + " end")], "doc_id long, text string")
