@@ -6,17 +6,18 @@ their occurrence, with the least values of one hash, and keeps them in text
 order: it agrees for two texts only if what they share stands in the same
 order. Half of the 16 sketches see each shingle's first occurrence only, so
 that repetition alone doesn't hide a link. A further 32 keys take three of the
-distinct shingles as a set, so that neither order nor repetition hides one.
+distinct shingles as a set, so that neither order nor repetition hides one, and
+48 more three of the distinct runs of three words, of which edits leave more.
 
 Two nodes are linked if a banded alignment of their words shows an edit
 similarity of ``SIMILAR`` or more (edits of words against the longer text), or
 if that part of their distinct shingles is shared (Jaccard), in whatever order:
 an alignment sees moved blocks as edits. Classes are the connected components.
 
-The alignment is laid along the shingles that the texts share, within the band
-of as many words as may be edited, in a chain as long as possible; the words
-between are aligned in full. So it never finds more similarity than there is,
-and what it costs follows the edits, not the product of the lengths.
+Texts that share enough pairs of neighbouring words for a link are aligned in
+full, by columns held as bits, so the test is exact. For long texts an alignment
+along the shingles that they share, in a chain as long as possible, comes first;
+what it costs follows the edits.
 
 Nodes that agree in a key form a bucket, whose hub is the node that is in
 most buckets. Every node is first compared, alignment included, with the hubs
@@ -25,8 +26,8 @@ all its other buckets; most of a group of copies is near its hub, so this star
 links groups of any size by a number of pairs proportional to their size. What
 is then still apart from its hub's component, and agrees with the
 others around that hub in ``AGREE`` keys, is compared with them in blocks:
-products of shingle matrices, by Jaccard alone, of which only links between
-different components leave a task. Of a node's hubs those of the most common
+products of shingle matrices for Jaccard, and of word pairs for what to align, of
+which only links between different components leave a task. Of a node's hubs those of the most common
 buckets, ``AGREE`` - 1 buckets together at most, are left out there: texts
 that agree in ``AGREE`` keys still share another hub; so a line that very many
 unlike texts share costs nothing.
@@ -34,9 +35,10 @@ unlike texts share costs nothing.
 Node numbers are 64 bits of a hash of the words. Two texts that share a part J
 of their shingles agree in a key with a chance of J^3. So of those with J of 0.8,
 the order of what is shared aside, more than 0.9999 are found; and of those that
-are near by their edits alone, where one is the other's hub, 0.99 at J = 0.45
-(some ten edits in 100 words), 0.95 at 0.4 and 0.7 at 0.3. It is less for texts of a few shingles, and for texts that owe most of what they share
-to a passage that other texts have, too.
+are near by their edits alone, where one is the other's hub, more than 0.99 at
+ten or 15 edits spread over 100 words and some 0.9 at 20, the most that a link
+may have. It is less for texts of a few shingles, and for texts that owe most
+of what they share to a passage that other texts have, too.
 
 Defined cases: null and empty texts are one class; texts under five words are
 similar only to equal ones; a null id is an id like any other, and the class id
@@ -62,6 +64,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES = 16
 SETS = 32
+SHORT, SHORTS = 3, 48
 TAKEN = 3
 #: Keys in which a node and a hub that it is compared with first, and two nodes of a block, agree at least.
 MEET, AGREE = 2, 5
@@ -71,6 +74,8 @@ SIDE, COLUMNS = 256, 4096
 _rng = np.random.default_rng(8)
 _ODD = _rng.integers(1, 2**63, SKETCHES + SETS, dtype=np.uint64) * U(2) + U(1)
 _XOR = _rng.integers(1, 2**63, SKETCHES + SETS, dtype=np.uint64)
+_ODD = np.append(_ODD, _rng.integers(1, 2**63, SHORTS, dtype=np.uint64) * U(2) + U(1))
+_XOR = np.append(_XOR, _rng.integers(1, 2**63, SHORTS, dtype=np.uint64))
 _HALF = SKETCHES // 2
 #: Shingles whose hashes for all sketches are held at once.
 BLOCK = 1 << 14
@@ -134,14 +139,19 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
-def unordered(s: np.ndarray) -> np.ndarray:
+def unordered(s: np.ndarray, part: slice = slice(SKETCHES, SKETCHES + SETS)) -> np.ndarray:
     """A key for each set of a text with these shingles, in whatever order and however often."""
     if not len(s):
         return np.zeros(0, np.int64)
-    values, part = mix(np.unique(s)), slice(SKETCHES, SKETCHES + SETS)
+    values = mix(np.unique(s))
     return folded(np.sort(values[least(values, part)], axis=1), part).view(np.int64)
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """A key for each set of a text of these words, from runs too short for many edits to change all."""
+    return unordered(grams(h, SHORT), slice(SKETCHES + SETS, SKETCHES + SETS + SHORTS)) if len(h) >= SHINGLE else np.zeros(0, np.int64)
+
+
 def shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, word hashes, shingle hashes)."""
     for row, data, offsets in slices(texts):
@@ -213,19 +223,51 @@ def bigrams_shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n[i], m[j]).sum())
 
 
-def labelled(h: np.ndarray) -> np.ndarray:
-    """The shingles of words, each told apart from equal ones before it."""
-    s = grams(h, SHINGLE)
+def labelled(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The shingles, of n words, of words, each told apart from equal ones before it."""
+    s = grams(h, n)
     return mix(s + occurrences(s).astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether an alignment of the words a and b along shared shingles has at most the edits that SIMILAR leaves."""
+    """Whether the words a and b are at most the edits apart that SIMILAR leaves."""
     longer = max(len(a), len(b))
     most = int((1 - SIMILAR) * longer + 1e-9)
     # an edit changes two pairs of neighbours, so with few edits most pairs are shared
     if abs(len(a) - len(b)) > most or bigrams_shared(a, b) < longer - 1 - 2 * most:
         return False
+    # what the chain costs follows the edits, so it comes first for long texts only
+    return longer > LONG and chained(a, b, most) or apart(a.tolist(), b.tolist(), most) <= most
+
+
+#: Words from which on a chain of shared shingles is tried first.
+LONG = 2000
+
+
+def apart(a: list[int], b: list[int], most: int) -> int:
+    """As edits, by columns of the whole table held as bits of a number: where it rises and where it falls."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[int, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, done, left = whole, 0, len(a), len(b)
+    for w in b:
+        same = places.get(w, 0)
+        x = (((same & up) + up) ^ up) | same
+        rise, fall = down | (whole & ~(x | up)), up & x
+        done += 1 if rise & last else -1 if fall & last else 0
+        left -= 1
+        if done - left > most:
+            return most + 1
+        rise, fall, x = (rise << 1 | 1) & whole, (fall << 1) & whole, same | down
+        up, down = fall | (whole & ~(x | rise)), rise & x
+    return done
+
+
+def chained(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether an alignment along shared shingles has at most so many edits."""
     _, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
     near = np.abs(i - j) <= most
     i, j = i[near], j[near]
@@ -269,7 +311,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             nodes, keys = [], []
             for _, h, s in shingles(b.column("text")):
                 nodes.append(node_of(h))
-                keys.append(np.concatenate([sketch(s), unordered(s)]))
+                keys.append(np.concatenate([sketch(s), unordered(s), short(h)]))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             made = [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
@@ -354,7 +396,8 @@ def compare(block: pa.Table) -> pa.Table:
     """Links (a, b) between components, enough to join all that are linked, of the left and right side of a block."""
     left = np.array(block.column("left").to_pylist(), bool)
     nodes, comps = (np.array(block.column(c).to_pylist(), np.int64) for c in ("node", "comp"))
-    sets = [distinct(np.frombuffer(x.as_py(), np.uint64)) for x in block.column("s")]
+    texts = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("s")]
+    sets = [distinct(x) for x in texts]
     a, b = np.flatnonzero(left), np.flatnonzero(~left)
     links: list[tuple[int, int]] = []
     if len(a) and len(b):
@@ -368,12 +411,25 @@ def compare(block: pa.Table) -> pa.Table:
                 root[x] = x = root[root[x]]
             return x
 
-        for i, j in np.argwhere(near).tolist():
-            x, y = int(a[i]), int(b[j])
-            p, q = find(int(comps[x])), find(int(comps[y]))
-            if p != q and overlapping(sets[x], sets[y]):
-                root[p] = q
-                links.append((int(nodes[x]), int(nodes[y])))
+        def join(pairs: np.ndarray, told) -> None:
+            for i, j in pairs.tolist():
+                x, y = int(a[i]), int(b[j])
+                p, q = find(int(comps[x])), find(int(comps[y]))
+                if p != q and told(x, y):
+                    root[p] = q
+                    links.append((int(nodes[x]), int(nodes[y])))
+
+        join(np.argwhere(near), lambda x, y: overlapping(sets[x], sets[y]))
+        # what aligned asks for first, of all pairs at once
+        length = np.array([len(x) for x in texts])
+        most = ((1 - SIMILAR) * np.maximum(length[a][:, None], length[b]) + 1e-9).astype(int)
+        maybe = (np.abs(length[a][:, None] - length[b]) <= most) & (np.minimum(length[a][:, None], length[b]) >= SHINGLE) & (comps[a][:, None] != comps[b])
+        i, j = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+        if len(i):
+            pairs = overlaps([labelled(texts[n], 2) for n in a[i]], [labelled(texts[n], 2) for n in b[j]])
+            at = np.ix_(i, j)
+            x, y = np.nonzero(maybe[at] & (pairs >= np.maximum(length[a[i]][:, None], length[b[j]]) - 1 - 2 * most[at] - 1e-3))
+            join(np.column_stack([i[x], j[y]]), lambda x, y: aligned(texts[x], texts[y]))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 

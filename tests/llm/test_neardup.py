@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,46 @@ def test_recall_by_edits(spark):
     assert len(set(got.values())) >= 800
 
 
+def test_links_of_many_edits(spark):
+    """Links that five-word shingles hardly show: 15 to 20 edits in 100 words, at random and in every fifth word."""
+    rng, rows = random.Random(5), []
+    for pair in range(300):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        other = list(text)
+        where = range(pair // 3 % 5, 100, 5) if pair % 3 == 2 else rng.sample(range(100), (15, 20)[pair % 3])
+        for n in where:
+            other[n] = f"x{rng.randrange(10**9)}"
+        rows += [(2 * pair, " ".join(text)), (2 * pair + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = [sum(got[2 * p] == got[2 * p + 1] for p in range(n, 300, 3)) for n in range(3)]
+    assert found[0] >= 95 and found[1] >= 75 and found[2] >= 40, found
+    assert len(set(got.values())) >= 300
+
+
+def test_blocks_align():
+    """Both sides' links by edits alone, and by Jaccard, leave a block."""
+    rng = random.Random(8)
+    base = [[rng.getrandbits(63) for _ in range(60)] for _ in range(6)]
+    far = [[rng.getrandbits(63) if n % 6 == 3 else w for n, w in enumerate(b)] for b in base]
+    texts = [np.array(x, np.uint64) for x in base + far]
+    assert not any(neardup.overlapping(neardup.distinct(texts[i]), neardup.distinct(texts[i + 6])) for i in range(6))
+    block = pa.table({"left": [True] * 6 + [False] * 6, "node": list(range(12)), "comp": list(range(12)), "s": [x.tobytes() for x in texts]})
+    assert sorted(map(tuple, neardup.compare(block).to_pandas().to_numpy().tolist())) == [(i, i + 6) for i in range(6)]
+
+
+def test_alignment_is_exact():
+    rng = random.Random(12)
+    for _ in range(300):
+        a = [rng.randrange(6) for _ in range(rng.randrange(5, 90))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 1 + len(a) // 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.randrange(6) for _ in range(rng.randrange(2))]
+        d = edit_distance(a, b)
+        assert neardup.aligned(np.array(a, np.uint64), np.array(b, np.uint64)) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
+        assert neardup.apart(a, b, 1000) == d and neardup.apart(a, b, 7) == min(d, 8)
+
+
 def test_alignment_never_overrates():
     """Against the whole table of edits, over texts of few words, where runs repeat, and of many."""
     rng, seen = random.Random(9), [0, 0, 0]
