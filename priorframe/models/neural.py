@@ -23,6 +23,9 @@ class Neural(Featured):
         self.starters, self.dim, self.hidden, self.dropout, self.decay, self.rate = starters, dim, hidden, dropout, decay, rate
         self.epochs, self.patience, self.validation, self.batch, self.seen, self.seed = epochs, patience, validation, batch, seen, seed
 
+    def inputs(self) -> list[str]:
+        return [*self.features, "kickoff", "home_team", "away_team", *(["home_qb_id", "away_qb_id"] if self.starters else [])]
+
     def ids(self, df: pd.DataFrame) -> list[tuple[str, np.ndarray]]:
         look = lambda names, c: np.array([names.get(v, 0) for v in (df[c] if c in df else [None] * len(df))])
         out = [("team", look(self.teams, "home_team")), ("team", look(self.teams, "away_team"))]
