@@ -171,7 +171,8 @@ def strategies(predictions: DataFrame, market: str = "vegas", min_bets: int = 60
     """n, hit rate, return, t and both halves' returns of every model x context x side x threshold with enough bets.
 
     predictions: model, game_id, season, week, p_home, pred_spread, pred_total, home_win, spread_actual, total_actual,
-    vegas_spread, vegas_total. Each prediction is expanded to the strategies that bet on it, then aggregated.
+    vegas_spread, vegas_total. Predictions of the same contexts, bets and outcomes are one cell: cells, not predictions,
+    are expanded to their strategies.
     """
     mk = predictions.filter(F.col("model") == market).select("game_id", F.col("p_home").alias("market"))
     d = predictions.filter(F.col("model") != "home_team").join(mk, "game_id", "left")
@@ -186,20 +187,32 @@ def strategies(predictions: DataFrame, market: str = "vegas", min_bets: int = 60
         (TOTAL_SIDES, finite(F.col("pred_total")) & finite(F.col("total_actual")) & finite(F.col("vegas_total")) & (F.col("total_actual") != F.col("vegas_total")),
          F.abs(F.col("pred_total") - F.col("vegas_total")), (0.0, 1.5, 3.0), (F.col("pred_total") > F.col("vegas_total")) == (F.col("total_actual") > F.col("vegas_total")), juice, "{:.1f}pt"),
     ]
-    bets = []
-    for sides, valid, edge, levels, won, odds, label in kinds:
+    bit = lambda on, j: F.when(on, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long"))
+    bets, on_, won_, profits = [], F.lit(0).cast("long"), F.lit(0).cast("long"), []
+    for k, (sides, valid, edge, levels, won, odds, label) in enumerate(kinds):
+        profits.append(F.when(valid, F.when(won, odds - 1).otherwise(F.lit(-1.0))))
+        won_ = won_.bitwiseOR(bit(valid & won, k))
         for side, mask in sides.items():
             for level in levels:
-                on = F.coalesce(valid & F.expr(mask) & (edge >= level), F.lit(False))
-                profit = F.when(won, odds - 1).otherwise(F.lit(-1.0))
-                bets.append(F.when(on, F.struct(F.lit(f"{side} | edge>={label.format(level)}").alias("bet"), won.alias("won"), profit.alias("profit"))))
-    d = d.withColumn("_context", F.array(*(F.when(F.expr(m), F.lit(c)) for c, m in CONTEXTS.items())))
-    d = d.select("model", "season", F.filter("_context", lambda x: x.isNotNull()).alias("_context"), F.filter(F.array(*bets), lambda x: x.isNotNull()).alias("_bets"))
-    d = d.select("model", "season", F.explode("_context").alias("context"), "_bets").select("model", "season", "context", F.explode("_bets").alias("b")).select("model", "season", "context", "b.*")
-    early = F.col("season") <= half
+                on_ = on_.bitwiseOR(bit(valid & F.expr(mask) & (edge >= level), len(bets)))
+                bets.append((f"{side} | edge>={label.format(level)}", k))
+    in_ = F.lit(0).cast("long")
+    for j, m in enumerate(CONTEXTS.values()):
+        in_ = in_.bitwiseOR(bit(F.expr(m), j))
+    d = d.select("model", (F.col("season") <= half).alias("_early"), in_.alias("_in"), on_.alias("_on"), won_.alias("_won"), *(p.alias(f"_p{k}") for k, p in enumerate(profits)))
+    sums = [f(c).alias(f"{name}{k}") for k in range(len(kinds)) for c in (F.col(f"_p{k}"),) for name, f in (("_s", F.sum), ("_q", lambda x: F.sum(x * x)), ("_lo", F.min), ("_hi", F.max))]
+    d = d.groupBy("model", "_early", "_in", "_on", "_won").agg(F.count(F.lit(1)).alias("_n"), *sums)
+    has = lambda c, j: F.col(c).bitwiseAND(F.lit(1 << j).cast("long")) != 0
+    contexts = F.array(*(F.when(has("_in", j), F.lit(c)) for j, c in enumerate(CONTEXTS)))
+    told = F.array(*(F.when(has("_on", j), F.struct(F.lit(b).alias("bet"), F.when(has("_won", k), F.col("_n")).otherwise(0).alias("hits"), *(F.col(f"_{c}{k}").alias(c) for c in ("s", "q", "lo", "hi")))) for j, (b, k) in enumerate(bets)))
+    d = d.select("model", "_early", "_n", F.filter(contexts, lambda x: x.isNotNull()).alias("_contexts"), F.filter(told, lambda x: x.isNotNull()).alias("_bets"))
+    d = d.select("model", "_early", "_n", F.explode("_contexts").alias("context"), "_bets").select("model", "_early", "_n", "context", F.explode("_bets").alias("b")).select("model", "_early", "_n", "context", "b.*")
+    n, early = F.sum("_n"), F.col("_early")
+    mean = lambda on: F.sum(F.when(on, F.col("s"))) / F.sum(F.when(on, F.col("_n")))
+    square = F.greatest(F.sum("q") - F.sum("s") * F.sum("s") / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
     g = d.groupBy("model", "context", "bet").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("won").cast("double")).alias("hit_rate"), F.avg("profit").alias("roi"), F.stddev_samp("profit").alias("sd"),
-        F.avg(F.when(early, F.col("profit"))).alias("roi_early"), F.avg(F.when(~early, F.col("profit"))).alias("roi_late"),
+        n.alias("n"), (F.sum("hits") / n).alias("hit_rate"), (F.sum("s") / n).alias("roi"), F.when((n > 1) & (F.min("lo") == F.max("hi")), 0.0).otherwise(F.sqrt(square)).alias("sd"),
+        mean(early).alias("roi_early"), mean(~early).alias("roi_late"),
     ).filter(F.col("n") >= min_bets)
     return g.withColumn("t", F.when(F.col("sd") > 0, F.col("roi") / (F.col("sd") / F.sqrt("n"))))
 
