@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 
 from priorframe.models.base import column, known, sigmoid
 from priorframe.models.linear import Featured, Scale
 
+#: Rows that pass the layers at once when nothing is learnt.
+ROWS = 8192
+
 
 class Neural(Featured):
     """AdamW with dropout and early stopping on the last part of the training rows by time.
@@ -33,35 +38,27 @@ class Neural(Featured):
             out += [("qb", look(self.qbs, "home_qb_id")), ("qb", look(self.qbs, "away_qb_id"))]
         return out
 
-    def forward(self, x: np.ndarray, ids: list, rng: np.random.Generator | None = None) -> tuple:
-        w = self.w
-        inputs = np.concatenate([x, *(w[k][i] for k, i in ids)], axis=1)
-        layers, masks, a = [inputs], [], inputs
-        for k in (1, 2):
-            z = a @ w[f"w{k}"] + w[f"b{k}"]
-            a = np.maximum(z, 0)
-            m = np.ones_like(a) if rng is None else (rng.random(a.shape) >= self.dropout) / (1 - self.dropout)
-            a = a * m
-            masks.append(m * (z > 0))
-            layers.append(a)
-        return a @ w["w3"] + w["b3"], layers, masks
-
-    def loss(self, out: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Summed mean losses of the targets, each over the rows that have it; and the gradient."""
-        total, grad = 0.0, np.zeros_like(out)
+    def forward(self, x: np.ndarray, ids: list) -> np.ndarray:
+        """The heads' outputs, without dropout, for so many rows at a time that layers stay small."""
+        w, out = self.w, np.empty((len(x), len(self.used)))
+        for at in range(0, len(x), ROWS):
+            r = slice(at, at + ROWS)
+            a = np.concatenate([x[r], *(w[k][i[r]] for k, i in ids)], axis=1)
+            for k in (1, 2):
+                a = np.maximum(a @ w[f"w{k}"] + w[f"b{k}"], 0)
+            out[r] = a @ w["w3"] + w["b3"]
+        return out
+
+    def loss(self, out: np.ndarray, y: np.ndarray) -> float:
+        """Summed mean losses of the targets, each over the rows that have it."""
+        total = 0.0
         for j, t in enumerate(self.used):
             ok = np.isfinite(y[:, j])
-            n = ok.sum()
-            if not n:
+            if not ok.any():
                 continue
             z, v = out[ok, j], y[ok, j]
-            if t.kind == "binary":
-                total += float((np.logaddexp(0, z) - v * z).mean())
-                grad[ok, j] = (sigmoid(z) - v) / n
-            else:
-                total += float(((z - v) ** 2).mean())
-                grad[ok, j] = 2 * (z - v) / n
-        return total, grad
+            total += float((np.logaddexp(0, z) - v * z if t.kind == "binary" else (z - v) ** 2).mean())
+        return total
 
     def fit(self, train: pd.DataFrame) -> Neural:
         self.fitted, self.maps = {}, {}
@@ -73,6 +70,7 @@ class Neural(Featured):
         m = self.matrix(order)
         self.scale = Scale(m)
         x, ids = self.scale(m), self.ids(order)
+        del m  # large, and not needed any more
         y = np.full((len(order), len(self.used)), np.nan)
         self.mean, self.sd = np.zeros(len(self.used)), np.ones(len(self.used))
         for j, t in enumerate(self.used):
@@ -81,6 +79,7 @@ class Neural(Featured):
             if t.kind != "binary" and ok.sum() > 1:
                 self.mean[j], self.sd[j] = y[ok, j].mean(), y[ok, j].std(ddof=1) or 1.0
                 y[:, j] = (y[:, j] - self.mean[j]) / self.sd[j]
+        del order
         rng = np.random.default_rng(self.seed)
         width = x.shape[1] + self.dim * len(ids)
         init = lambda a, b: rng.uniform(-1, 1, (a, b)) / np.sqrt(a)
@@ -89,30 +88,13 @@ class Neural(Featured):
                   "w3": init(self.hidden // 2, len(self.used)), "b3": np.zeros(len(self.used))}
         hold = max(60, int(round(self.validation * len(x))))
         cut = len(x) - hold if len(x) > 2 * hold else len(x)
-        take = lambda r: [(k, i[r]) for k, i in ids]
-        m1, m2, step = {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}, 0
+        step = self.stepper(x[:cut], [(k, i[:cut]) for k, i in ids], y[:cut], rng)
+        tail = slice(cut if cut < len(x) else 0, len(x))
         best, kept, waited = np.inf, None, 0
         for _ in range(self.epochs):
             for r in np.array_split(rng.permutation(cut), max(1, -(-cut // self.batch))):
-                out, layers, masks = self.forward(x[r], take(r), rng)
-                _, d = self.loss(out, y[r])
-                g = {"w3": layers[2].T @ d, "b3": d.sum(0)}
-                d = (d @ self.w["w3"].T) * masks[1]
-                g |= {"w2": layers[1].T @ d, "b2": d.sum(0)}
-                d = (d @ self.w["w2"].T) * masks[0]
-                g |= {"w1": layers[0].T @ d, "b1": d.sum(0)}
-                d = d @ self.w["w1"].T
-                g |= {"team": np.zeros_like(self.w["team"]), "qb": np.zeros_like(self.w["qb"])}
-                for n, (k, i) in enumerate(take(r)):
-                    at = x.shape[1] + n * self.dim
-                    np.add.at(g[k], i, d[:, at : at + self.dim])
-                step += 1
-                for k, v in g.items():
-                    m1[k] = 0.9 * m1[k] + 0.1 * v
-                    m2[k] = 0.999 * m2[k] + 0.001 * v * v
-                    self.w[k] = self.w[k] * (1 - self.rate * self.decay) - self.rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-            tail = np.arange(cut, len(x)) if cut < len(x) else np.arange(len(x))
-            now = self.loss(self.forward(x[tail], take(tail))[0], y[tail])[0]
+                step(r)
+            now = self.loss(self.forward(x[tail], [(k, i[tail]) for k, i in ids]), y[tail])
             if now < best - 1e-5:
                 best, kept, waited = now, {k: v.copy() for k, v in self.w.items()}, 0
             else:
@@ -129,8 +111,88 @@ class Neural(Featured):
                     self.maps[win] = MarginMap(own[margin], column(train, c))
         return self
 
+    def stepper(self, x: np.ndarray, ids: list, y: np.ndarray, rng: np.random.Generator) -> Callable[[np.ndarray], None]:
+        """A step of AdamW on some of these rows.
+
+        A step is small, so what counts is the number of NumPy's calls: weights, their gradients and moments lie in one
+        array each, self.w becomes views of it, and layers are written to buffers.
+        """
+        at = np.cumsum([0, *(v.size for v in self.w.values())])
+        flat = np.concatenate([v.ravel() for v in self.w.values()])
+        grad, m1, m2, one, two = (np.zeros_like(flat) for _ in range(5))
+        views = lambda a: {k: a[i:j].reshape(v.shape) for (k, v), i, j in zip(self.w.items(), at, at[1:])}
+        w, g = views(flat), views(grad)
+        self.w = w
+        most, wide, dim = self.batch + 1, x.shape[1], self.dim
+        inputs = np.empty((most, w["w1"].shape[0]))
+        z1, z2 = np.empty((most, self.hidden)), np.empty((most, self.hidden // 2))
+        r1, r2 = np.empty_like(z1), np.empty_like(z2)
+        ok = np.isfinite(y)
+        binary = [j for j, t in enumerate(self.used) if t.kind == "binary"]
+        twice = np.array([1.0 if t.kind == "binary" else 2.0 for t in self.used])
+        tables = {k: [n for n, (of, _) in enumerate(ids) if of == k] for k in ("team", "qb")}
+        cells, scale, count = np.arange(dim), 1 / (1 - self.dropout), 0
+
+        def layer(a: np.ndarray, k: int, z: np.ndarray, r: np.ndarray) -> np.ndarray:
+            """z becomes the layer's output; what it is to be multiplied with on the way back."""
+            np.matmul(a, w[f"w{k}"], out=z)
+            z += w[f"b{k}"]
+            rng.random(out=r)
+            mask = (r >= self.dropout) & (z > 0)
+            np.multiply(mask, scale, out=r)
+            z *= r
+            return r
+
+        def step(some: np.ndarray) -> None:
+            nonlocal count
+            n = len(some)
+            a0, a1, a2 = inputs[:n], z1[:n], z2[:n]
+            a0[:, :wide] = x[some]
+            own = [i[some] for _, i in ids]
+            for j, ((k, _), i) in enumerate(zip(ids, own)):
+                a0[:, wide + j * dim : wide + (j + 1) * dim] = w[k][i]
+            back1, back2 = layer(a0, 1, a1, r1[:n]), layer(a1, 2, a2, r2[:n])
+            d = a2 @ w["w3"] + w["b3"]
+            for j in binary:
+                d[:, j] = sigmoid(d[:, j])
+            known_ = ok[some]
+            d -= y[some]
+            d *= twice
+            d /= np.maximum(known_.sum(0), 1)
+            d[~known_] = 0
+            np.matmul(a2.T, d, out=g["w3"])
+            d.sum(0, out=g["b3"])
+            d = (d @ w["w3"].T) * back2
+            np.matmul(a1.T, d, out=g["w2"])
+            d.sum(0, out=g["b2"])
+            d = (d @ w["w2"].T) * back1
+            np.matmul(a0.T, d, out=g["w1"])
+            d.sum(0, out=g["b1"])
+            d = d @ w["w1"].T
+            for k, places in tables.items():
+                if places:
+                    i = np.concatenate([own[j] for j in places])
+                    v = np.concatenate([d[:, wide + j * dim : wide + (j + 1) * dim] for j in places])
+                    g[k][:] = np.bincount((i[:, None] * dim + cells).ravel(), v.ravel(), g[k].size).reshape(g[k].shape)
+            count += 1
+            m1.__imul__(0.9)
+            m1.__iadd__(np.multiply(grad, 0.1, out=one))
+            m2.__imul__(0.999)
+            np.multiply(grad, 0.001, out=one)
+            m2.__iadd__(np.multiply(one, grad, out=one))
+            np.divide(m2, 1 - 0.999**count, out=one)
+            np.sqrt(one, out=one)
+            one.__iadd__(1e-8)
+            np.divide(m1, 1 - 0.9**count, out=two)
+            two.__imul__(self.rate)
+            np.divide(two, one, out=two)
+            flat.__imul__(1 - self.rate * self.decay)
+            flat.__isub__(two)
+
+        return step
+
     def predict_raw(self, test: pd.DataFrame) -> dict[str, np.ndarray]:
-        out = self.forward(self.scale(self.matrix(test)), self.ids(test))[0]
+        out = self.forward(self.scale(self.matrix(test)), self.ids(test))
         return {t.prediction: sigmoid(out[:, j]) if t.kind == "binary" else out[:, j] * self.sd[j] + self.mean[j] for j, t in enumerate(self.used)}
 
     def team_embeddings(self) -> pd.DataFrame:
